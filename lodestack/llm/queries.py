@@ -4,12 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path
 from ..tables import table
 from .common import id_residue
 from .langid import LanguageModel
+from .mixing import mix
+from .neardup import near_duplicates
+from .sharding import assign_shards
+from .substring import remove_repeats
+from .tokens import read_tokens, write_tokens
+
+
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document as read back from the entropy-coded files."""
+    path = new_path(spark, "token-blocks")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, path)
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that start earlier elsewhere."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard among 24 and, with one more, among 25."""
+    return assign_shards(table(spark, sf_dir, "documents"), 24)
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents similar on 2-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +56,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_language_id": op10_language_id}
+    return {
+        "op1_token_blocks": op1_token_blocks,
+        "op3_source_mix": op3_source_mix,
+        "op4_repeated_passages": op4_repeated_passages,
+        "op8_jump_shards": op8_jump_shards,
+        "op9_near_duplicates": op9_near_duplicates,
+        "op10_language_id": op10_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
