@@ -14,9 +14,11 @@ from .common import id_residue
 from .langid import LanguageModel
 from .mixing import mix
 from .neardup import near_duplicates
+from .quality import QualityRules
 from .sharding import assign_shards
 from .substring import remove_repeats
 from .tokens import read_tokens, write_tokens
+from .toxicity import ToxicityModel
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,17 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by a model of the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_residue(F.col("doc_id"), 3) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.col("toxic").isNotNull())
+    model = ToxicityModel.fit(docs.where(~held_out).join(labels, "doc_id"))
+    scored = model.score(docs)
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -36,6 +49,13 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    rules = QualityRules.fit(docs)
+    return rules.apply(docs.select("doc_id", "text")).drop("text")
+
+
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard among 24 and, with one more, among 25."""
     return assign_shards(table(spark, sf_dir, "documents"), 24)
@@ -58,8 +78,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
+        "op2_toxicity": op2_toxicity,
         "op3_source_mix": op3_source_mix,
         "op4_repeated_passages": op4_repeated_passages,
+        "op7_quality": op7_quality,
         "op8_jump_shards": op8_jump_shards,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language_id": op10_language_id,
