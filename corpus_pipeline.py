@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.llm.decontaminate import contaminated
 from lodestack.llm.langid import UNDETERMINED, LanguageModel
-from lodestack.storage import stage
+from lodestack.llm.mixing import mixed
+from lodestack.llm.neardup import near_duplicates
+from lodestack.llm.tokens import read_tokens, write_tokens
+from lodestack.storage import new_path, stage
 from lodestack.tables import table
 
 
@@ -17,9 +22,39 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
 
 
-STAGES = [("language_id", identify_language)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each component similar on 5-word shingles."""
+    surplus = near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id")
+    return docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
 
-#: Trained models and hash sketches decide; the stages are tested against brute force instead.
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that contain a benchmark item."""
+    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix to the sources' target weights takes it."""
+    return mixed(docs)
+
+
+def write_token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode to token blocks; per document what the files hold, as read back."""
+    path = new_path(spark, "pipeline-tokens")
+    write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, path)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", drop_benchmark_leaks),
+    ("mix_sources", mix_sources),
+    ("token_blocks", write_token_blocks),
+]
+
+#: A trained model and a tokenizer library decide in it; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..storage import new_path
 from ..tables import table
+from . import decontaminate
 from .common import id_residue
 from .langid import LanguageModel
 from .mixing import mix
 from .neardup import near_duplicates
 from .quality import QualityRules
+from .secrets import scan_secrets, span_text
 from .sharding import assign_shards
 from .substring import remove_repeats
 from .tokens import read_tokens, write_tokens
@@ -49,6 +51,23 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secret_spans")
+    n = lambda k: F.size(F.filter(spans, lambda m: m["rank"] == k)).cast("long")
+    base = span_text(F.filter(spans, lambda m: m["rank"] < 3))
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_text(spans).alias("spans"),
+    )
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that contains a benchmark item, with the item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -81,6 +100,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_source_mix": op3_source_mix,
         "op4_repeated_passages": op4_repeated_passages,
+        "op5_secrets": op5_secrets,
+        "op6_decontaminate": op6_decontaminate,
         "op7_quality": op7_quality,
         "op8_jump_shards": op8_jump_shards,
         "op9_near_duplicates": op9_near_duplicates,
@@ -89,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontaminate": decontaminate.ORACLE}
