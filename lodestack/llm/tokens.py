@@ -17,7 +17,6 @@ id. An empty corpus gives tables without rows.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from functools import lru_cache
 
@@ -28,20 +27,39 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import discard, stage
+from . import kernel as K
 from . import rans
 
 BLOCK_TOKENS = 1 << 18
-#: Words whose ids a Python worker keeps at most.
-CACHE_WORDS = 400_000
+#: Pieces whose ids a Python worker keeps at most.
+CACHE_PIECES = 250_000
+_SLICE = 1 << 19
 
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@]*)")
+#: Byte classes within words: letters (A-Z, a-z, Latin-1 letters in two bytes), marks that split off, others.
+_LETTER, _MARK, _OTHER = 0, 1, 2
+_BYTE = np.full(256, _OTHER, np.uint8)
+_BYTE[65:91] = _BYTE[97:123] = _LETTER
+_BYTE[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41)]] = _MARK
+
+
+def _classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of every byte, and the bytes with letters lowered."""
+    kind, low = _BYTE[data], K.lowered(data)
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    letter = lead[(second >= 0x80) & (second != 0x97) & (second != 0xB7)]
+    kind[letter] = kind[letter + 1] = _LETTER
+    capital = letter[data[letter + 1] <= 0x9E]
+    low[capital + 1] += 0x20
+    return kind, low
 
 
 class Encoder:
     """Ids of texts by one tokenizer file.
 
-    Where the tokenizer drops white space and never joins what it separates, each distinct word is
-    encoded once and kept; the ids are the same as of the whole text. Other tokenizers get whole texts.
+    Where the tokenizer drops white space and splits letters from marks, each distinct run of letters
+    or marks is encoded once and kept; the ids are the same as of the whole text. Other tokenizers get
+    whole texts.
     """
 
     def __init__(self, path: str):
@@ -55,56 +73,75 @@ class Encoder:
         suffix = config["model"].get("end_of_word_suffix") or "\0"
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith(suffix)
-        self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.known: dict[int, bytes] = {}
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_letters(self, found: list[str]) -> None:
-        """Runs of letters, many to a call: each ends with its only end-of-word token."""
-        groups = [found[i : i + 64] for i in range(0, len(found), 64)]
-        for group, ids in zip(groups, self._batch([" ".join(g) for g in groups]), strict=True):
+    def _learn(self, keys: list[int], pieces: list[str], letters: np.ndarray) -> None:
+        """Runs of letters go many to a call: each ends with its only end-of-word token."""
+        plain = np.flatnonzero(letters).tolist()
+        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        coded = self._batch([" ".join([pieces[k] for k in g]) for g in groups])
+        for group, ids in zip(groups, coded, strict=True):
             flat = np.array(ids, "<u4")
-            cuts = np.flatnonzero(self.ends[flat]) + 1
-            if len(cuts) == len(group):
-                parts = [p.tobytes() for p in np.split(flat, cuts[:-1])]
+            cuts = [0, *(np.flatnonzero(self.ends[flat]) + 1).tolist()]
+            if len(cuts) == len(group) + 1 and cuts[-1] == len(flat):
+                raw = flat.tobytes()
+                parts = [raw[4 * i : 4 * j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             else:
-                parts = [np.array(x, "<u4").tobytes() for x in self._batch(group)]
-            self.letters.update(zip(group, parts, strict=True))
-
-    def _learn(self, found: set[str]) -> None:
-        if len(self.words) + len(found) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.letters) + len(found) > CACHE_WORDS:
-            self.letters.clear()
-        plain, other = [], []
-        for word in found:
-            match = _PLAIN.fullmatch(word)
-            if match:
-                plain.append((word, match[1].lower(), match[2]))
-            else:
-                other.append(word)
-        marks = {p for _, _, p in plain if p and p not in self.words}
-        other += [m for m in marks if m not in found]
-        for word, ids in zip(other, self._batch(other), strict=True):
-            self.words[word] = np.array(ids, "<u4").tobytes()
-        self._learn_letters(list({x for _, x, _ in plain} - self.letters.keys()))
-        for word, letters, mark in plain:
-            self.words[word] = self.letters[letters] + self.words[mark] if mark else self.letters[letters]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+                parts = [np.array(x, "<u4").tobytes() for x in self._batch([pieces[k] for k in group])]
+            for k, part in zip(group, parts, strict=True):
+                self.known[keys[k]] = part
+        other = np.flatnonzero(~letters).tolist()
+        for k, ids in zip(other, self._batch([pieces[k] for k in other]), strict=True):
+            self.known[keys[k]] = np.array(ids, "<u4").tobytes()
+
+    def encode(self, text: K.Text) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a slice's documents in order, and how many each document has."""
         if not self.by_word:
-            return [np.array(x, "<u4").tobytes() for x in self._batch(texts)]
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
-        new = set().union(*parts) - self.words.keys()
+            raw = text.data.tobytes()
+            coded = self._batch([raw[a:b].decode() for a, b in zip(text.offsets[:-1], text.offsets[1:], strict=True)])
+            return np.array([x for ids in coded for x in ids], np.uint32), np.array([len(x) for x in coded], np.int64)
+        w = K.words(text)
+        if not len(w):
+            return np.zeros(0, np.uint32), np.zeros(len(text), np.int64)
+        kind, low = _classes(text.data)
+        # A word of letters and then marks splits between them; any other word is one piece.
+        letters = np.concatenate([[0], np.cumsum(kind == _LETTER)])
+        marks = np.concatenate([[0], np.cumsum(kind == _MARK)])
+        n_letters, n_marks, size = letters[w.end] - letters[w.start], marks[w.end] - marks[w.start], w.end - w.start
+        change = np.concatenate([[0], np.cumsum(kind[1:] != kind[:-1])])
+        changes = change[w.end - 1] - change[w.start]
+        plain = (n_letters + n_marks == size) & (kind[w.start] == _LETTER) & (changes <= 1)
+        cut = np.where(plain, w.start + n_letters, w.end)
+        tail = np.flatnonzero(cut < w.end)
+        order = np.argsort(np.concatenate([np.arange(len(w)), tail + 0.5]), kind="stable")
+        start, end = np.concatenate([w.start, cut[tail]])[order], np.concatenate([cut, w.end[tail]])[order]
+        by_letter = np.concatenate([plain, np.zeros(len(tail), bool)])[order]
+        doc = np.concatenate([w.doc, w.doc[tail]])[order]
+        hashes = K.range_hashes(text.data, start, end)
+        some = np.flatnonzero(by_letter)
+        hashes[some] = K.range_hashes(low, start[some], end[some], 1)
+        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        names = keys.tolist()
+        found = [self.known.get(k) for k in names]
+        new = [i for i, x in enumerate(found) if x is None]
         if new:
-            if len(self.words) + len(new) > CACHE_WORDS:
-                new = set().union(*parts)
-            self._learn(new)
-        known = self.words.__getitem__
-        return [b"".join(map(known, p)) for p in parts]
+            if len(self.known) + len(new) > CACHE_PIECES:
+                self.known.clear()
+                new = list(range(len(names)))
+            raw, lowered = text.data.tobytes(), low.tobytes()
+            at = first[new]
+            pieces = [(lowered if p else raw)[a:b].decode() for a, b, p in zip(start[at].tolist(), end[at].tolist(), by_letter[at].tolist(), strict=True)]
+            self._learn([names[i] for i in new], pieces, by_letter[at])
+            found = [self.known[k] for k in names]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        length = np.array([len(x) for x in found], np.int64) // 4
+        begin = np.cumsum(length) - length
+        each = length[which]
+        place = np.repeat(begin[which] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        return flat[place], np.bincount(doc, each, minlength=len(text)).astype(np.int64)
 
 
 def _drops_space(config: dict) -> bool:
@@ -139,18 +176,19 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
 
 
 def _tokenise(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         encoder = _encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                coded = [x + end for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
-                ids = [np.frombuffer(x, "<u4") for x in coded]
+            for text in K.slices(batch.column(1), _SLICE):
+                ids, n = encoder.encode(text)
+                full = np.empty(len(ids) + len(n), np.uint32)
+                ends = np.cumsum(n + 1)
+                inner = np.ones(len(full), bool)
+                inner[ends - 1] = False
+                full[inner], full[~inner] = ids, end_id
+                packed = [_pack(full[b - k : b]) for b, k in zip(ends.tolist(), (n + 1).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([_pack(x) for x in ids], pa.binary())],
-                    names=["doc_id", "n", "ids"],
+                    [batch.column(0).slice(text.first, len(text)), pa.array(n + 1), pa.array(packed, pa.binary())], names=["doc_id", "n", "ids"]
                 )
 
     return run
