@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document forms a slice of its own.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -118,15 +118,24 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte range [start, end)."""
-    base = _BASES[which]
+def byte_sums(data: np.ndarray, which: int = 0) -> np.ndarray:
+    """Prefix sums from which hashes_between() takes any byte range."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[which][data] * powers(base, len(data)), out=sums[1:])
-    raw = (sums[end] - sums[start]) * powers(inverse(base), len(data) + 1)[start]
+    np.cumsum(_CODES[which][data] * powers(_BASES[which], len(data)), out=sums[1:])
+    return sums
+
+
+def hashes_between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range [start, end)."""
+    raw = (sums[end] - sums[start]) * powers(inverse(_BASES[which]), len(sums))[start]
     return mix(raw + (end - start).astype(np.uint64) * _U(0x9FB21C651E98DF25))
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """The same in one call."""
+    return hashes_between(byte_sums(data, which), start, end, which)
+
+
 def sums_of(hashes: np.ndarray, which: int = 0) -> np.ndarray:
     """Prefix sums from which span_hashes() takes any run of words."""
     sums = np.zeros(len(hashes) + 1, np.uint64)

@@ -41,9 +41,9 @@ from . import kernel as K
 WINDOW = 20
 CORE = 5
 FANOUT = 4
-_SLICE = 1 << 21
-#: Bits of the filter that spares documents without any repeat from a shuffle (2 MB; fixed size).
-FILTER_BITS = 1 << 24
+_SLICE = 1 << 19
+#: Bits of the filters that spare rows without a partner from a shuffle (4 MB each; fixed size).
+FILTER_BITS = 1 << 25
 
 
 @dataclass
@@ -203,27 +203,29 @@ def _bitmap(bits: int):
     return run
 
 
-def _slots(ids: pa.Array, bits: int) -> np.ndarray:
-    return K.mix(np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)
+def _slots(hashes: pa.Array, bits: int) -> np.ndarray:
+    return np.asarray(hashes).astype(np.int64).view(np.uint64) & np.uint64(bits - 1)
 
 
-def _maybe(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS):
-    """A condition on ``doc_id``: certainly true for all of ``ids``, mostly false for others.
+def _maybe(table: DataFrame, members: DataFrame, *keys: str, bits: int = FILTER_BITS):
+    """A condition on rows of ``table``: certainly true where ``members`` has the same keys, mostly false elsewhere.
 
-    A bitmap of fixed size is gathered and broadcast. With more ids than bits it only spares less work.
+    A bitmap of fixed size is gathered and broadcast, so that a join with ``members`` shuffles little
+    of ``table``. With more members than bits the bitmap only spares less.
     """
     words = np.zeros(bits // 64, np.uint64)
-    rows = ids.mapInArrow(_bitmap(bits), "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits"))
-    table = rows.toArrow()
-    words[table["slot"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    hashed = members.select(F.xxhash64(*keys).alias("h"))
+    rows = hashed.mapInArrow(_bitmap(bits), "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    found = rows.toArrow()
+    words[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    shared = table.sparkSession.sparkContext.broadcast(words)
 
     @F.arrow_udf("boolean")
     def maybe(column: pa.Array) -> pa.Array:
         slot = _slots(column, bits)
         return pa.array((shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1)
 
-    return F.col("doc_id").isNotNull() & maybe("doc_id")
+    return maybe(F.xxhash64(*keys))
 
 
 @dataclass
@@ -242,7 +244,7 @@ class FingerprintIndex:
 
     def _sorted_run(self, rows: DataFrame) -> DataFrame:
         merged = rows.groupBy("anchor", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        return stage(merged.repartition("anchor").sortWithinPartitions("anchor", "span"), "run")
+        return stage(merged.sortWithinPartitions("anchor", "span"), "run")
 
     def _add(self, run: DataFrame) -> None:
         level, have = 0, run
@@ -267,26 +269,22 @@ class FingerprintIndex:
         known = fresh
         if self.runs:
             old = reduce(DataFrame.union, self.runs)
-            touched = old.join(fresh.select("anchor").distinct(), "anchor", "left_semi")
-            known = fresh.union(touched).groupBy("anchor", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        by_anchor = (
-            known.groupBy("anchor")
-            .agg(F.min("first").alias("f"), F.max("last").alias("l"), F.min("span").alias("s"), F.max("span").alias("t"))
-            .where("f < l")
-            .select("anchor", F.expr("s != t").alias("mixed"))
-        )
-        shared = stage(known.join(by_anchor, "anchor"), "shared")
-        whole = seen.join(shared.where("first < last").select("anchor", "span", "first"), ["anchor", "span"]).where("doc_id > first")
+            touched = old.where(_maybe(old, fresh, "anchor"))
+            known = stage(fresh.union(touched).groupBy("anchor", "span").agg(F.min("first").alias("first"), F.max("last").alias("last")), "known")
+        repeated = stage(known.where("first < last").select("anchor", "span", "first"), "repeated")
+        mixed = stage(known.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor"), "mixed")
+        whole = seen.where(_maybe(seen, repeated, "anchor", "span")).join(repeated, ["anchor", "span"]).where("doc_id > first")
         whole = stage(whole.select("doc_id", "low", "high"), "repeats")
         # The first document of each span of an anchor with several spans is read again.
-        leaders = shared.where("mixed").select("anchor", "span", F.col("first").alias("doc_id"))
-        mine = stage(seen.join(leaders, ["anchor", "span", "doc_id"], "left_semi").select("doc_id", "low", "high").distinct(), "leaders")
+        leaders = known.where(_maybe(known, mixed, "anchor")).join(mixed, "anchor", "left_semi")
+        leaders = stage(leaders.select("anchor", "span", F.col("first").alias("doc_id")), "leaders")
+        lead = seen.where(_maybe(seen, leaders, "anchor", "span", "doc_id")).join(leaders, ["anchor", "span", "doc_id"], "left_semi")
+        mine = stage(lead.select("doc_id", "low", "high").distinct(), "leaders")
         windows = self._windows(docs, mine)
         if history is not None:
-            new_ids = seen.select("doc_id").distinct()
-            old_leaders = leaders.join(new_ids, "doc_id", "left_anti")
+            old_leaders = stage(leaders.join(seen.select("doc_id").distinct(), "doc_id", "left_anti"), "leaders")
             ids = stage(old_leaders.select("doc_id").distinct(), "leaders")
-            again = history.where(_maybe(history, ids)).join(ids, "doc_id", "left_semi")
+            again = history.where(_maybe(history, ids, "doc_id")).join(ids, "doc_id", "left_semi")
             theirs = (
                 again.mapInArrow(_occurrences(self.window, self.core), "anchor long, span int, doc_id long, low int, high int")
                 .join(old_leaders, ["anchor", "span", "doc_id"], "left_semi")
@@ -299,13 +297,13 @@ class FingerprintIndex:
         single = windows.join(least, ["hash_a", "hash_b"]).where("doc_id > first").select("doc_id", "low", F.col("low").alias("high"))
         found = stage(whole.union(single), "repeats")
         self._add(fresh)
-        for table in (seen, shared, whole, mine, windows):
+        for table in (seen, repeated, mixed, leaders, whole, mine, windows):
             discard(table)
         return found
 
     def _windows(self, docs: DataFrame, ranges: DataFrame) -> DataFrame:
         lists = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("r")).select("doc_id", "r.low", "r.high")
-        read = docs.where(_maybe(docs, ranges.select("doc_id")))
+        read = docs.where(_maybe(docs, ranges, "doc_id"))
         return read.join(lists, "doc_id").select("doc_id", "text", "low", "high").mapInArrow(_window_hashes(self.window), "hash_a long, hash_b long, doc_id long, low int")
 
 
@@ -333,7 +331,7 @@ def remove_repeats(
     for run in index.runs:
         discard(run)
     ranges = reduce(DataFrame.union, found)
-    hit = _maybe(given, ranges.select("doc_id"))
+    hit = _maybe(given, ranges, "doc_id")
     lists = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("r")).select("doc_id", "r.low", "r.high")
     shape = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     clean = given.where(~hit).mapInArrow(_cleaned(window, keep_text), shape)

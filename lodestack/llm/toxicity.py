@@ -175,7 +175,7 @@ class ToxicityModel:
 
     @staticmethod
     def fit(
-        labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 6000, precision: float = 0.5, support: float = 0.004
+        labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 2400, precision: float = 0.5, support: float = 0.004
     ) -> ToxicityModel:
         """Fit on about ``max_rows`` rows with a label, a third of them toxic where so many exist."""
         rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(label) == 1).alias("toxic"), F.col(key).alias("key"))
