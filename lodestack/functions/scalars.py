@@ -150,3 +150,16 @@ def n_grams(words: Column, low: int, high: int) -> Column:
         return F.when(n >= k, F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
 
     return F.concat(*[runs(k) for k in range(low, high + 1)])
+
+
+def expanded(text: Column, terms: dict[str, str]) -> Column:
+    """Terms of a dictionary replaced, the longest first, each by its translation between spaces; squeezed."""
+    out = text
+    for term in sorted(terms, key=lambda t: (-len(t), t)):
+        out = F.replace(out, F.lit(term), F.lit(f" {terms[term]} "))
+    return squeezed(out)
+
+
+def bib_entry(key: Column, title: Column, authors: Column, year: Column) -> Column:
+    """One BibTeX article entry; authors are an array of names."""
+    return F.concat(F.lit("@article{"), key, F.lit(",\n  title = {"), title, F.lit("},\n  author = {"), F.array_join(authors, " and "), F.lit("},\n  year = {"), year.cast("string"), F.lit("}\n}"))

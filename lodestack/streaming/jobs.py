@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,19 +26,26 @@ def landing(spark: SparkSession, path: str, key: str, time: str, delay: str = "4
     return stream(spark, path).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def drained(spark: SparkSession, rows: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def drained(spark: SparkSession, rows: DataFrame, label: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
     """All that a stream has now, written once to the shared folder, as a table.
 
-    Complete and update output go through foreachBatch, each batch replacing the one before.
+    In complete mode each micro-batch replaces the one before; in update mode the latest row of each of
+    ``keys`` counts.
     """
     out, marks = new_path(spark, label), new_path(spark, f"{label}-checkpoint")
     writer = rows.writeStream.option("checkpointLocation", marks).trigger(availableNow=True)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").start(out)
-    else:
+    elif mode == "complete":
         query = writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    else:
+        query = writer.outputMode(mode).foreachBatch(lambda batch, n: batch.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
     query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(rows.schema).parquet(out)
+    rest = [c for c in rows.columns if c not in keys]
+    written = spark.read.schema(rows.schema.add("__batch", "int")).option("recursiveFileLookup", "true").parquet(out)
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("__v")).select(*keys, *[F.col(f"__v.{c}") for c in rest])
 
 
 def latest(spark: SparkSession, path: str, keys: Sequence[str], version: str) -> DataFrame:
@@ -76,3 +84,32 @@ def updated_edges(edges: DataFrame, old: DataFrame, new: DataFrame, doc: str = "
     minus = edge_counts(old.join(same, doc, "left_anti"), doc, item).select("a", "b", (-F.col("n")).alias("n"))
     plus = edge_counts(new.join(same, doc, "left_anti"), doc, item)
     return edges.select("a", "b", "n").union(minus).union(plus).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def session_memory(turns: DataFrame, session: str, fact: str, keep: int = 12) -> DataFrame:
+    """``session, facts`` of a stream of turns: each session's last ``keep`` distinct facts, kept as state."""
+
+    def remember(key, batches, state):
+        facts = state.get[0].split("\n") if state.exists and state.get[0] else []
+        for batch in batches:
+            for f in batch.sort_values(list(batch.columns))["fact"]:
+                if f and f not in facts:
+                    facts = [*facts, f][-keep:]
+        state.update(("\n".join(facts),))
+        yield pd.DataFrame({"session": [key[0]], "facts": [", ".join(facts)]})
+
+    rows = turns.select(F.col(session).cast("string").alias("session"), F.col(fact).alias("fact"))
+    return rows.groupBy("session").applyInPandasWithState(remember, "session string, facts string", "facts string", "update", "NoTimeout")
+
+
+def pending(records: DataFrame, attempts: DataFrame, key: str, budget: int, retry: bool = False) -> DataFrame:
+    """The next ``budget`` records, by key, without an earlier attempt (or without a successful one, to retry)."""
+    tried = attempts.where("status = 'enriched'") if retry else attempts
+    return records.join(tried.select(key), key, "left_anti").orderBy(key).limit(budget)
+
+
+def ledger(pending_rows: DataFrame, payloads: DataFrame, key: str, text: str, least_words: int = 80) -> DataFrame:
+    """``key, status`` of an enrichment round: enriched, no_fulltext (too short) or failed (no payload)."""
+    both = pending_rows.select(key).join(payloads.select(key, text), key, "left")
+    words = F.size(F.split(F.trim(text), " +"))
+    return both.select(key, F.when(F.col(text).isNull(), "failed").when(words < least_words, "no_fulltext").otherwise("enriched").alias("status"))
