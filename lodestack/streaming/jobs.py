@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.cooccurrence import document_pairs
 from ..operators.dedupe import upsert
@@ -44,7 +45,7 @@ def drained(spark: SparkSession, rows: DataFrame, label: str, mode: str = "appen
     if mode != "update":
         return spark.read.schema(rows.schema).parquet(out)
     rest = [c for c in rows.columns if c not in keys]
-    written = spark.read.schema(rows.schema.add("__batch", "int")).option("recursiveFileLookup", "true").parquet(out)
+    written = spark.read.schema(StructType([*rows.schema, StructField("__batch", IntegerType())])).option("recursiveFileLookup", "true").parquet(out)
     return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("__v")).select(*keys, *[F.col(f"__v.{c}") for c in rest])
 
 
