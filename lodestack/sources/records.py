@@ -90,3 +90,53 @@ def quota_sample(rows: DataFrame, query: str, key: str, limit: int, n_queries: i
         return picked
     more = backfill.where(F.trim(key) != "").dropDuplicates([key]).join(picked.select(key), key, "left_anti").select(*rows.columns)
     return picked.withColumn("__p", F.lit(0)).unionByName(more.withColumn("__p", F.lit(1))).orderBy("__p", key).limit(limit).drop("__p")
+
+
+_PERSONS = "AuthorList:struct<Author:array<struct<LastName:string,ForeName:string>>>"
+_IDS = "array<struct<_{0}:string,_VALUE:string>>"
+#: The parts of an article record that are read; ids in its reference list lie elsewhere.
+ARTICLE_XML = (
+    "MedlineCitation struct<PMID:string,Article:struct<ArticleTitle:string,Abstract:struct<AbstractText:array<string>>,"
+    f"ELocationID:{_IDS.format('EIdType')},Journal:struct<Title:string,JournalIssue:struct<PubDate:struct<Year:string>>>,{_PERSONS}>>,"
+    f"PubmedData struct<ArticleIdList:struct<ArticleId:{_IDS.format('IdType')}>>"
+)
+
+
+def read_article_xml(spark: SparkSession, path: str) -> DataFrame:
+    """``pmid, title, abstract, authors, year, journal, doi`` of stored XML batches of article records.
+
+    The DOI is the electronic location's, else the record's own id, never one of a cited article; an
+    empty text where there is neither.
+    """
+    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE_XML).load(path)
+    article = F.col("MedlineCitation.Article")
+    doi_in = lambda ids, kind: F.get(F.transform(F.filter(ids, lambda i: i[kind] == "doi"), lambda i: F.trim(i["_VALUE"])), F.lit(0))
+    names = F.transform(article["AuthorList"]["Author"], lambda a: F.concat_ws(" ", a["ForeName"], a["LastName"]))
+    return rows.select(
+        F.col("MedlineCitation.PMID").alias("pmid"), article["ArticleTitle"].alias("title"), F.array_join(article["Abstract"]["AbstractText"], " ").alias("abstract"),
+        F.coalesce(names, F.array().cast("array<string>")).alias("authors"), article["Journal"]["JournalIssue"]["PubDate"]["Year"].alias("year"), article["Journal"]["Title"].alias("journal"),
+        F.coalesce(doi_in(article["ELocationID"], "_EIdType"), doi_in(F.col("PubmedData.ArticleIdList.ArticleId"), "_IdType"), F.lit("")).alias("doi"),
+    )
+
+
+def read_feed_xml(spark: SparkSession, path: str) -> DataFrame:
+    """``id, title, summary, authors, published, categories`` of stored Atom batches."""
+    schema = "id string, title string, summary string, published string, author array<struct<name:string>>, category array<struct<_term:string>>"
+    rows = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+    return rows.select("id", F.trim("title").alias("title"), F.trim("summary").alias("summary"), F.col("author.name").alias("authors"), "published", F.col("category._term").alias("categories"))
+
+
+def text_candidates(source: Column, doi: Column, pmcid: Column, url: Column, paper_id: Column) -> Column:
+    """Addresses where a paper's full text may be, with the reason, most direct first; each address once, http(s) only."""
+    one = lambda when, address, reason: F.when(when, F.struct(address.alias("url"), F.lit(reason).alias("reason")))
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    listed = F.array_compact(
+        F.array(
+            one(has(pmcid), F.concat(F.lit("https://pmc.ncbi.nlm.nih.gov/articles/"), pmcid, F.lit("/")), "pmc"),
+            one(source == "arxiv", F.concat(F.lit("https://arxiv.org/pdf/"), paper_id), "preprint"),
+            one(has(url), url, "given"),
+            one(has(doi), F.concat(F.lit("https://doi.org/"), doi), "doi"),
+        )
+    )
+    web = F.filter(listed, lambda x: x["url"].rlike("^https?://"))
+    return F.filter(web, lambda x, i: ~F.exists(F.slice(web, F.lit(1), i), lambda y: y["url"] == x["url"]))

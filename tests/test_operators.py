@@ -119,3 +119,20 @@ def test_verdicts(spark):
     rows = spark.createDataFrame([(1, 1, 0.9), (0, 1, 0.9), (1, 0, 0.9), (1, 0, 0.5), (0, 0, 0.9)], "s int, c int, b double")
     got = [r.v for r in rows.select(search.verdict(F.col("s"), F.col("c"), F.col("b")).alias("v")).collect()]
     assert got == ["disputed", "refuted", "strong", "partial", "insufficient"]
+
+
+def test_article_xml(spark, tmp_path):
+    cited = "<ReferenceList><Reference><ArticleIdList><ArticleId IdType='doi'>10.9/cited</ArticleId></ArticleIdList></Reference></ReferenceList>"
+    article = lambda n, place, own: f"<PubmedArticle><MedlineCitation><PMID>{n}</PMID><Article><ArticleTitle>T{n}</ArticleTitle>{place}<Journal><Title>J</Title><JournalIssue><PubDate><Year>2024</Year></PubDate></JournalIssue></Journal><Abstract><AbstractText>A</AbstractText></Abstract><AuthorList><Author><LastName>Chen</LastName><ForeName>Ada</ForeName></Author></AuthorList></Article></MedlineCitation><PubmedData><ArticleIdList>{own}</ArticleIdList>{cited}</PubmedData></PubmedArticle>"
+    place = "<ELocationID EIdType='doi'>10.1/place</ELocationID>"
+    own = "<ArticleId IdType='pubmed'>1</ArticleId><ArticleId IdType='doi'>10.1/own</ArticleId>"
+    (tmp_path / "a.xml").write_text("<Set>" + article(1, "", "<ArticleId IdType='pubmed'>1</ArticleId>") + article(2, place, own) + article(3, "", own) + "</Set>")
+    got = {r.pmid: r for r in records.read_article_xml(spark, str(tmp_path)).collect()}
+    assert {k: r.doi for k, r in got.items()} == {"1": "", "2": "10.1/place", "3": "10.1/own"}
+    assert (got["1"].authors, got["1"].year, got["1"].abstract) == (["Ada Chen"], "2024", "A")
+
+
+def test_text_candidates(spark):
+    row = spark.createDataFrame([("arxiv", "10.1/x", "", "https://arxiv.org/pdf/2401.1", "2401.1")], "s string, d string, p string, u string, i string")
+    got = row.select(records.text_candidates(*[F.col(c) for c in "sdpui"]).alias("c")).first().c
+    assert [(c.url, c.reason) for c in got] == [("https://arxiv.org/pdf/2401.1", "preprint"), ("https://doi.org/10.1/x", "doi")]
