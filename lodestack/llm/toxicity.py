@@ -106,15 +106,22 @@ def _cover(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray, weight: np.
 
     ``precision`` is the least share of a feature's tokens, weighted by document, in toxic documents.
     """
-    flat = features.reshape(-1)
-    pair_doc = np.repeat(doc, features.shape[1])
-    keep = flat != 0
-    names, index = np.unique(flat[keep], return_inverse=True)
-    pairs = np.unique(index.astype(np.int64) * len(toxic) + pair_doc[keep])
+    # only features of toxic documents can be picked
+    names = np.unique(features[toxic[doc]])
+    names = names[names != 0]
+    mass, bad, parts = np.zeros(len(names)), np.zeros(len(names)), []
+    for column in features.T:
+        at = np.minimum(np.searchsorted(names, column), max(len(names) - 1, 0))
+        known = np.flatnonzero(names[at] == column) if len(names) else at[:0]
+        index, pair_doc = at[known], doc[known]
+        mass += np.bincount(index, weight[pair_doc], minlength=len(names))
+        bad += np.bincount(index, (weight * ~toxic)[pair_doc], minlength=len(names))
+        mine = toxic[pair_doc]
+        parts.append(np.unique(index[mine] * len(toxic) + pair_doc[mine]))
+    pairs = np.unique(np.concatenate(parts))
     feature, document = pairs // len(toxic), pairs % len(toxic)
-    mass = np.bincount(index, weight[pair_doc[keep]], minlength=len(names))
-    sure = np.bincount(index, (weight * toxic)[pair_doc[keep]], minlength=len(names)) >= precision * mass
-    use = sure[feature] & toxic[document]
+    sure = mass - bad >= precision * mass
+    use = sure[feature]
     feature, document = feature[use], document[use]
     least = max(5.0, support * toxic.sum())
     open_, picked = toxic.copy(), []
@@ -175,7 +182,7 @@ class ToxicityModel:
 
     @staticmethod
     def fit(
-        labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 2400, precision: float = 0.5, support: float = 0.004
+        labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 1800, precision: float = 0.5, support: float = 0.004
     ) -> ToxicityModel:
         """Fit on about ``max_rows`` rows with a label, a third of them toxic where so many exist."""
         rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(label) == 1).alias("toxic"), F.col(key).alias("key"))
