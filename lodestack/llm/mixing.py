@@ -9,8 +9,9 @@ fewer than rows.
 
 Rates become whole copies cell by cell, a cell being one source and size, from large sizes to
 small ones: each cell takes the copies that bring the running total nearest to the running target,
-so a source ends within about half of its smallest document. Within a cell, hash order of the ids
-says which documents get the extra copy, so reruns agree.
+so a source misses its target only by what its small documents, at 0 to 3 copies, can't make up
+(a few per cent for a source of ten documents). Within a cell, hash order of the ids says which
+documents get the extra copy, so reruns agree.
 
 Null text has size 0; a null source is a source of its own, ordered last. An empty table gives an
 empty mix. Repeated rows are documents of their own.

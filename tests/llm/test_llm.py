@@ -142,7 +142,7 @@ def test_mix_meets_targets(spark, docs, texts):
         taken[r.source] += r.taken
         target[r.source] = r.target
     for s in sums:
-        assert abs(taken[s] - target[s]) <= least[s] + 5
+        assert abs(taken[s] - target[s]) <= 0.05 * target[s] + least[s]
     assert abs(sum(target.values()) - sum(sums.values())) < 1e-3
     assert sorted(tuple(r) for r in mix(docs).collect()) == sorted(tuple(r) for r in got)
 
