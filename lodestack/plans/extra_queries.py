@@ -191,7 +191,7 @@ def mod04(spark, sf_dir):
 
 @query("gra13_component_slices")
 def gra13(spark, sf_dir):
-    edges = stage(gq.heavy(gq.sparse_edges(spark, sf_dir)), "edges")
+    edges = stage(gq.sparse_edges(spark, sf_dir), "edges")
     return gr.component_slices(edges, connected_components(edges, "a", "b"))
 
 
