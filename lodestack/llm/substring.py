@@ -3,7 +3,7 @@
 A window is ``WINDOW`` consecutive words of one document. Among the ``CORE``-word runs inside a
 window the one of least hash is its anchor (the leftmost of equal ones), so equal windows have
 equal anchors at equal places. Neighbouring windows mostly share an anchor; the words of all
-windows that share one are its *span*. One fingerprint row, (anchor hash, span hash), thus stands
+windows that share one are its *span*. One fingerprint row, (anchor hash, span hash, 64 bits each), thus stands
 for about eight windows.
 
 The index is a list of immutable runs, each sorted by anchor hash with one row for each
@@ -66,7 +66,7 @@ def _fingerprints(text: K.Text, window: int, core: int) -> _Fingerprints:
     width = window - core + 1
     if not len(at):
         none = np.zeros(0, np.int64)
-        return _Fingerprints(w, sums, none.view(np.uint64), none.astype(np.int32), none, none)
+        return _Fingerprints(w, sums, none.view(np.uint64), none.view(np.uint64), none, none)
     every = np.arange(len(w) - core + 1)
     cores = K.span_hashes(sums[0], every, every + core)
     least = cores[at]
@@ -81,7 +81,7 @@ def _fingerprints(text: K.Text, window: int, core: int) -> _Fingerprints:
     begin = np.flatnonzero(new)
     low, high = at[begin], at[np.append(begin[1:], len(at)) - 1]
     span = K.span_hashes(sums[1], low, high + window, 1) + K.mix((where[begin] - low).astype(np.uint64))
-    return _Fingerprints(w, sums, least[begin], (K.mix(span) >> np.uint64(32)).astype(np.uint32).view(np.int32), low, high)
+    return _Fingerprints(w, sums, least[begin], K.mix(span), low, high)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -97,7 +97,7 @@ def _occurrences(window: int, core: int):
                 doc = f.words.doc[f.low]
                 begin = f.words.first[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [_long(f.anchor), pa.array(f.span), ids.take(pa.array(doc + text.first)), pa.array((f.low - begin).astype(np.int32)), pa.array((f.high - begin).astype(np.int32))],
+                    [_long(f.anchor), _long(f.span), ids.take(pa.array(doc + text.first)), pa.array((f.low - begin).astype(np.int32)), pa.array((f.high - begin).astype(np.int32))],
                     names=["anchor", "span", "doc_id", "low", "high"],
                 )
 
@@ -264,7 +264,7 @@ class FingerprintIndex:
         ``docs`` and ``history`` (all documents of earlier batches) have ``doc_id`` and ``text``. The
         index afterwards holds the batch too. Repeats inside one document are not listed.
         """
-        seen = stage(docs.where("doc_id is not null").mapInArrow(_occurrences(self.window, self.core), "anchor long, span int, doc_id long, low int, high int"), "occurrences")
+        seen = stage(docs.where("doc_id is not null").mapInArrow(_occurrences(self.window, self.core), "anchor long, span long, doc_id long, low int, high int"), "occurrences")
         fresh = self._sorted_run(seen.select("anchor", "span", F.col("doc_id").alias("first"), F.col("doc_id").alias("last")))
         known = fresh
         if self.runs:
@@ -286,7 +286,7 @@ class FingerprintIndex:
             ids = stage(old_leaders.select("doc_id").distinct(), "leaders")
             again = history.where(_maybe(history, ids, "doc_id")).join(ids, "doc_id", "left_semi")
             theirs = (
-                again.mapInArrow(_occurrences(self.window, self.core), "anchor long, span int, doc_id long, low int, high int")
+                again.mapInArrow(_occurrences(self.window, self.core), "anchor long, span long, doc_id long, low int, high int")
                 .join(old_leaders, ["anchor", "span", "doc_id"], "left_semi")
                 .select("doc_id", "low", "high")
                 .distinct()
