@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import normal_doi, normal_title
+from ..storage import stage
 from .filters import clean_full_text, is_front_matter
 
 
@@ -66,15 +67,20 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def clear_ambiguous_dois(rows: DataFrame, row_id: str, doi: str, title: str, source: str, sources: Sequence[str], threshold: float = 0.88) -> DataFrame:
-    """Blank the DOI of ``sources``' rows wherever a DOI stands on unlike titles.
+    """Blank the DOI of ``sources``' rows wherever a DOI stands on two unlike titles.
 
-    Distinct titles of a DOI are compared with its least title, so a DOI on many rows costs one
-    comparison for each title; where all are like that one, the DOI stays.
+    Distinct titles of a DOI are first compared with its least title, so a DOI on very many rows costs
+    one comparison for each title. Only where all are like that one, all pairs are compared.
     """
     keyed = rows.withColumn("__doi", F.nullif(normal_doi(F.col(doi)), F.lit(""))).withColumn("__t", normal_title(F.col(title)))
     titles = keyed.where("__doi is not null").select("__doi", "__t").distinct()
     least = titles.groupBy("__doi").agg(F.min("__t").alias("__m"), F.count("*").alias("__n")).where("__n > 1")
-    unlike = titles.join(least, "__doi").where(title_similarity("__t", "__m") < threshold).select("__doi").distinct().withColumn("__bad", F.lit(True))
+    first = stage(titles.join(least, "__doi").withColumn("__far", title_similarity("__t", "__m") < threshold).select("__doi", "__t", "__far"), "titles")
+    found = first.groupBy("__doi").agg(F.max("__far").alias("__far"))
+    open_ = first.join(found.where("not __far").select("__doi"), "__doi", "left_semi")
+    pairs = open_.select("__doi", "__t").join(open_.select("__doi", F.col("__t").alias("__m")), "__doi").where("__t < __m")
+    later = pairs.where(title_similarity("__t", "__m") < threshold).select("__doi")
+    unlike = found.where("__far").select("__doi").union(later).distinct().withColumn("__bad", F.lit(True))
     out = keyed.join(unlike, "__doi", "left").withColumn(doi, F.when(F.col("__bad") & F.col(source).isin(*sources), "").otherwise(F.col(doi)))
     return out.select(*rows.columns)
 

@@ -87,19 +87,21 @@ def updated_edges(edges: DataFrame, old: DataFrame, new: DataFrame, doc: str = "
     return edges.select("a", "b", "n").union(minus).union(plus).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def session_memory(turns: DataFrame, session: str, fact: str, keep: int = 12) -> DataFrame:
-    """``session, facts`` of a stream of turns: each session's last ``keep`` distinct facts, kept as state."""
+def session_memory(turns: DataFrame, session: str, fact: str, turn: str, keep: int = 12) -> DataFrame:
+    """``session, facts`` of a stream of turns: each session's last ``keep`` distinct facts, kept as state.
+
+    Facts come in order of ``turn`` within a micro-batch; a fact that is still remembered keeps its place.
+    """
 
     def remember(key, batches, state):
         facts = state.get[0].split("\n") if state.exists and state.get[0] else []
-        for batch in batches:
-            for f in batch.sort_values(list(batch.columns))["fact"]:
-                if f and f not in facts:
-                    facts = [*facts, f][-keep:]
+        for f in pd.concat(list(batches)).sort_values(["turn", "fact"])["fact"]:
+            if f and f not in facts:
+                facts = [*facts, f][-keep:]
         state.update(("\n".join(facts),))
         yield pd.DataFrame({"session": [key[0]], "facts": [", ".join(facts)]})
 
-    rows = turns.select(F.col(session).cast("string").alias("session"), F.col(fact).alias("fact"))
+    rows = turns.select(F.col(session).cast("string").alias("session"), F.col(fact).alias("fact"), F.col(turn).alias("turn"))
     return rows.groupBy("session").applyInPandasWithState(remember, "session string, facts string", "facts string", "update", "NoTimeout")
 
 
