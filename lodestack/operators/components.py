@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"), (F.col(src) != F.col(dst)).alias("link")
     )
     now = stage(pairs.where("link").select("hi", "lo").distinct(), "components")
-    while not _stars(now):
+    while True:
         both = now.select(F.col("hi").alias("a"), F.col("lo").alias("b")).union(
             now.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
         )
@@ -49,5 +49,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         after = stage(small, "components")
         discard(now)
         now = after
+        if _stars(now):
+            break
     nodes = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return nodes.union(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..operators import dedupe as dd
 from ..operators import graph as gr
+from ..operators import search as se
 from ..operators import textstats as ts
 from ..operators.components import connected_components
 from ..sources import records
@@ -55,9 +56,8 @@ def ret08(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     field = lambda text, weight: docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(sc.word_list(text))).alias("term"), F.lit(weight).alias("w"))
     hits = field(F.col("text"), 20).union(field(tq.first_line(), 60))
-    items = table(spark, sf_dir, "benchmark")
-    terms = items.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(F.slice(sc.word_list(F.col("text")), 1, 6))).alias("term"))
-    scored = hits.join(terms, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * 4).alias("score"))
+    terms = se.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    scored = hits.join(F.broadcast(terms) if terms.limit(100_001).count() <= 100_000 else terms, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * 4).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where("rank <= 3")
 
 
@@ -163,10 +163,10 @@ def src13(spark, sf_dir):
     return records.manifest(rows, F.col("y")).select(F.col("raw_file").alias("source"), "records", "invalid")
 
 
-@query("str05_session_memory")
+@query("str05_session_memory", "WITH f AS (SELECT conv_id, lower(regexp_extract(text, '[a-zA-Z]+')) AS w, min(turn) AS t FROM conversations GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t DESC, w DESC) AS back FROM f WHERE w <> '') SELECT CAST(c.conv_id AS VARCHAR) AS session, coalesce(any_value(g.facts), '') AS facts FROM conversations c LEFT JOIN (SELECT conv_id, string_agg(w, ', ' ORDER BY t, w) AS facts FROM r WHERE back <= 12 GROUP BY conv_id) g ON g.conv_id = c.conv_id GROUP BY c.conv_id")
 def str05(spark, sf_dir):
     stream = jobs.stream(spark, f"{sf_dir}/conversations.parquet").withColumn("fact", F.lower(F.regexp_extract("text", "[a-zA-Z]+", 0)))
-    return jobs.drained(spark, jobs.session_memory(stream, "conv_id", "fact"), "memory", "update", ["session"])
+    return jobs.drained(spark, jobs.session_memory(stream, "conv_id", "fact", "turn"), "memory", "update", ["session"])
 
 
 @query("str06_resumed_vectors")

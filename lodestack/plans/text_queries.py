@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import scalars as sc
 from ..operators import dedupe as dd
 from ..operators import filters as fl
@@ -33,6 +34,11 @@ SQ = r"trim(regexp_replace({0}, '[\x20\x09-\x0D]+', ' ', 'g'))"
 LINE = "split_part(text, chr(10), 1)"  # a document's first line stands for its title
 TITLE = "lower(" + SQ.format(f"coalesce({LINE}, '')") + ")"
 
+STOP_SQL = ", ".join(f"'{w}'" for w in C.QUERY_STOP)
+FIRST_TERMS = r"(list_filter(w, lambda x, i: list_position(w, x) = i))[1:{most}]"
+TERM_WORDS = r"list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+'), lambda x: len(x) > 1 AND x NOT IN (" + STOP_SQL + "))"
+TERMS = "terms AS (SELECT item_id AS query, unnest(" + FIRST_TERMS.format(most=12) + ") AS term FROM (SELECT item_id, " + TERM_WORDS.format(text="text") + " AS w FROM benchmark))"
+
 
 def first_line():
     return F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
@@ -161,9 +167,9 @@ def sca15(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(sc.concepts(t, CONCEPTS), ";").alias("concepts"))
 
 
-@query("sca18_query_terms", r"SELECT item_id, term FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM benchmark)")
+@query("sca18_query_terms", "WITH " + TERMS + " SELECT query AS item_id, term FROM terms")
 def sca18(spark, sf_dir):
-    return se.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", most=1000).select(F.col("query").alias("item_id"), "term")
+    return se.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("query").alias("item_id"), "term")
 
 
 @query("sca19_followup", "WITH u AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user') SELECT conv_id, turn, md5(CASE WHEN before IS NOT NULL AND regexp_matches(lower(text), '(^| )(it|this|that|un|de|der)( |$)') THEN before || ' ' || text ELSE text END) AS digest FROM u")
@@ -370,7 +376,6 @@ def joi08(spark, sf_dir):
 # ---- search
 
 POST = r"post AS (SELECT term, doc, count(*) AS tf FROM (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY term, doc)"
-TERMS = r"terms AS (SELECT item_id AS query, unnest(list_distinct(w)) AS term FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:6] AS w FROM benchmark))"
 LEX = f"WITH {POST}, {TERMS}, n AS (SELECT query, count(*) AS n FROM terms GROUP BY query), s AS (SELECT query, doc, count(*) AS m, round(sum(tf / (tf + 1)), 6) AS score FROM terms t JOIN post p ON p.term = t.term GROUP BY query, doc), lex AS (SELECT s.query, doc, score, CAST(row_number() OVER (PARTITION BY s.query ORDER BY m = n DESC, score DESC, doc) AS INTEGER) AS rank FROM s JOIN n ON n.query = s.query)"
 
 
@@ -380,9 +385,8 @@ def ret02(spark, sf_dir):
 
 
 def lexical(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark")
-    cut = items.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(F.slice(sc.word_list(F.col("text")), 1, 6))).alias("term"))
-    return se.lexical(se.postings(docs(spark, sf_dir), "doc_id", "text"), cut, 40)
+    terms = se.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return se.lexical(se.postings(docs(spark, sf_dir), "doc_id", "text"), terms, 40)
 
 
 @query("ret01_lexical", LEX + "SELECT * FROM lex WHERE rank <= 40")
@@ -431,13 +435,19 @@ def ret11(spark, sf_dir):
     return se.mmr(pool, 5)
 
 
-@query("ret10_recommend", f"WITH {KNN}, l AS (SELECT vec_id, label FROM embeddings), s AS (SELECT n.query, n.doc, round(0.6 * cosine + 0.2 * (a.label = b.label)::INT + 0.1 * greatest(0, 1 - abs(n.query - n.doc) / 1000.0), 6) AS score FROM near n JOIN l a ON a.vec_id = n.query JOIN l b ON b.vec_id = n.doc WHERE rank <= 50), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS position FROM s) SELECT * FROM r WHERE position <= 5")
+# A part's words, brand and size stand for the keywords, author and year of the item with its number.
+RECOMMEND = f"""WITH {KNN}, kw AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name, ' ')) AS v FROM part), own AS (SELECT id, count(*) AS n FROM kw GROUP BY id),
+s AS (SELECT n.query, n.doc, cosine, (SELECT count(*) FROM kw a JOIN kw b ON a.v = b.v WHERE a.id = n.query AND b.id = n.doc) AS shared_keywords, own.n AS n_own, coalesce(x.p_brand = y.p_brand, false)::INT AS same_author,
+coalesce(greatest(0, 1 - abs(x.p_size - y.p_size) / 10.0), 0)::DOUBLE AS recency FROM near n LEFT JOIN part x ON x.p_partkey = n.query LEFT JOIN part y ON y.p_partkey = n.doc LEFT JOIN own ON own.id = n.query WHERE rank <= 50),
+f AS (SELECT query, doc, round(0.6 * cosine + 0.2 * coalesce(shared_keywords / n_own, 0) + 0.1 * same_author + 0.1 * recency, 6) AS score, cosine, shared_keywords, same_author, recency FROM s),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS position FROM f) SELECT * FROM r WHERE position <= 5"""
+
+
+@query("ret10_recommend", RECOMMEND)
 def ret10(spark, sf_dir):
-    label = lambda key, name: table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(key), F.col("label").alias(name))
-    pool = nearest(spark, sf_dir, 50).join(label("query", "a"), "query").join(label("doc", "b"), "doc")
-    score = 0.6 * F.col("cosine") + 0.2 * (F.col("a") == F.col("b")).cast("int") + 0.1 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("query") - F.col("doc")) / 1000.0)
-    ranked = pool.select("query", "doc", F.round(score, 6).alias("score"))
-    return ranked.withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where("position <= 5")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_size")
+    words = part.select("id", F.explode(F.split("p_name", " ")).alias("word"))
+    return se.recommend(nearest(spark, sf_dir, 50), words, part.select("id", "p_brand"), part.select("id", "p_size"))
 
 
 @query("eva04_hit_rates", f"WITH {KNN}, l AS (SELECT vec_id, label FROM embeddings) SELECT round(avg((a.label = b.label)::INT), 6) AS same_field, round(avg(cosine), 6) AS mean_cosine, count(*) AS pairs FROM near n JOIN l a ON a.vec_id = n.query JOIN l b ON b.vec_id = n.doc WHERE rank <= 5")
@@ -447,9 +457,21 @@ def eva04(spark, sf_dir):
     return top.agg(F.round(F.avg((F.col("a") == F.col("b")).cast("int")), 6).alias("same_field"), F.round(F.avg("cosine"), 6).alias("mean_cosine"), F.count("*").alias("pairs"))
 
 
-@query("eva01_self_retrieval", LEX + "SELECT query, min(rank) AS first_rank FROM lex WHERE rank <= 10 GROUP BY query")
+EVA01 = "WITH " + POST + """, q AS (SELECT doc_id * 2 AS query, doc_id AS target, 'title' AS kind, """ + TERM_WORDS.format(text="split_part(text, chr(10), 1)") + " AS w, 12 AS most FROM documents WHERE doc_id % 100 = 0 UNION ALL SELECT doc_id * 2 + 1, doc_id, 'keywords', " + TERM_WORDS.format(text="text") + """, 6 FROM documents WHERE doc_id % 100 = 0),
+terms AS (SELECT query, unnest((list_filter(w, lambda x, i: list_position(w, x) = i))[1:most]) AS term FROM q), n AS (SELECT query, count(*) AS n FROM terms GROUP BY query), s AS (SELECT query, doc, count(*) AS m, round(sum(tf / (tf + 1)), 6) AS score FROM terms t JOIN post p ON p.term = t.term GROUP BY query, doc),
+r AS (SELECT s.query, doc, row_number() OVER (PARTITION BY s.query ORDER BY m = n DESC, score DESC, doc) AS rank FROM s JOIN n ON n.query = s.query), f AS (SELECT q.query, kind, min(rank) AS r FROM q JOIN n ON n.query = q.query LEFT JOIN r ON r.query = q.query AND r.doc = q.target AND rank <= 10 GROUP BY q.query, kind)
+SELECT kind, count(*) AS queries, round(avg(coalesce(r <= 1, false)::INT), 6) AS recall_1, round(avg(coalesce(r <= 5, false)::INT), 6) AS recall_5, round(avg(coalesce(r <= 10, false)::INT), 6) AS recall_10, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr_10 FROM f GROUP BY kind"""
+
+
+@query("eva01_self_retrieval", EVA01)
 def eva01(spark, sf_dir):
-    return lexical(spark, sf_dir).where("rank <= 10").groupBy("query").agg(F.min("rank").alias("first_rank"))
+    asked = docs(spark, sf_dir).where("doc_id % 100 = 0").select("doc_id", first_line().alias("title"), "text")
+    titles = asked.select((F.col("doc_id") * 2).alias("query"), F.col("title").alias("words"))
+    texts = asked.select((F.col("doc_id") * 2 + 1).alias("query"), F.col("text").alias("words"))
+    terms = se.query_terms(titles, "query", "words").union(se.query_terms(texts, "query", "words", most=6))
+    ranked = se.lexical(se.postings(docs(spark, sf_dir), "doc_id", "text"), terms, 10)
+    kinds = terms.select("query").distinct().select("query", F.expr("query div 2").alias("target"), F.when(F.col("query") % 2 == 0, "title").otherwise("keywords").alias("kind"))
+    return se.self_retrieval(ranked, kinds, "kind")
 
 
 @query("eva06_dialogue_checks", "SELECT conv_id, bool_and(length(text) > 0) AS has_text, count(*) FILTER (role = 'assistant') > 0 AS answered, max(turn) < 8 AS short, bool_and(role IN ('user', 'assistant', 'system', 'tool')) AS roles_ok FROM conversations GROUP BY conv_id")
@@ -460,8 +482,12 @@ def eva06(spark, sf_dir):
     )
 
 
-@query("ret14_grounding", r"WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w, lag(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) SELECT conv_id, turn, round(len(list_intersect(w, p)) / len(w), 6) AS support FROM t WHERE p IS NOT NULL AND len(w) > 0")
+ANSWER_SQL = ", ".join(f"'{w}'" for w in C.ANSWER_STOP)
+
+
+@query("ret14_grounding", r"WITH t AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: len(x) > 2 AND x NOT IN (" + ANSWER_SQL + r"))) AS w, regexp_extract_all(lower(before), '[\p{L}\p{N}]+') AS e, regexp_matches(text, '\[0*1\]') AS cited FROM t WHERE before IS NOT NULL), s AS (SELECT *, CASE WHEN len(w) > 0 THEN len(list_intersect(w, e)) / len(w) ELSE 0 END AS share FROM w) SELECT conv_id, turn, round(share, 6) AS share, CASE WHEN share >= 0.5 OR cited AND share >= 0.2 THEN 'high' WHEN share >= 0.25 OR cited THEN 'medium' ELSE 'low' END AS grounding FROM s")
 def ret14(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(sc.word_list(F.col("text"))).alias("w"))
-    turns = turns.withColumn("p", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).where("p is not null and size(w) > 0")
-    return turns.select("conv_id", "turn", F.round(F.size(F.array_intersect("w", "p")) / F.size("w"), 6).alias("support"))
+    turns = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+    share = se.support_share(F.col("text"), F.col("before"))
+    shared = turns.withColumn("share", share).withColumn("cited", se.cites_evidence(F.col("text"), F.lit(1)))
+    return shared.select("conv_id", "turn", F.round("share", 6).alias("share"), se.grounding(F.col("share"), F.col("cited")).alias("grounding"))
