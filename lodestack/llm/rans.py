@@ -15,8 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LANES = 256
-STRIDE = 256
+LANES = 512
+STRIDE = 128
 PRECISION = 20
 _LOW = np.uint64(1 << 31)
 

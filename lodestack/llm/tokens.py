@@ -31,8 +31,9 @@ from . import kernel as K
 from . import rans
 
 BLOCK_TOKENS = 1 << 18
-#: Pieces whose ids a Python worker keeps at most.
-CACHE_PIECES = 250_000
+#: Places for known pieces in a Python worker, and ids kept for them (56 MB together, whatever the input).
+CACHE_SLOTS = 1 << 21
+CACHE_IDS = 1 << 22
 _SLICE = 1 << 19
 
 #: Byte classes within words: letters (A-Z, a-z, Latin-1 letters in two bytes), marks that split off, others.
@@ -54,6 +55,43 @@ def _classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind, low
 
 
+class _Pieces:
+    """Ids of known pieces by hash, in memory of fixed size.
+
+    A hash has one place; a newer piece takes it over. The ids lie in a ring, where new ones replace the
+    oldest, so old pieces are forgotten one by one and learnt again if they return.
+    """
+
+    def __init__(self, slots: int, ids: int):
+        self.keys = np.zeros(slots, np.uint64)
+        self.begin = np.full(slots, -ids, np.int64)  # in all ids ever kept
+        self.length = np.zeros(slots, np.int32)
+        self.ring = np.zeros(ids, np.uint32)
+        self.end = 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each piece is known, and where its ids begin and how many they are."""
+        slot = (hashes & np.uint64(len(self.keys) - 1)).astype(np.intp)
+        begin = self.begin[slot]
+        return (self.keys[slot] == hashes) & (begin >= self.end - len(self.ring)), begin, self.length[slot].astype(np.int64)
+
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        return self.ring[places & (len(self.ring) - 1)]
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, length: np.ndarray) -> None:
+        begin = self.end + np.cumsum(length) - length
+        slot = (hashes & np.uint64(len(self.keys) - 1)).astype(np.intp)
+        self.keys[slot], self.begin[slot], self.length[slot] = hashes, begin, length
+        kept = flat[-len(self.ring) :]
+        self.end += len(flat)
+        self.ring[(self.end - len(kept) + np.arange(len(kept))) & (len(self.ring) - 1)] = kept
+
+
+def _spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of the ranges of ``length`` from ``begin``, one range after the other."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
 class Encoder:
     """Ids of texts by one tokenizer file.
 
@@ -62,7 +100,7 @@ class Encoder:
     whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, slots: int = CACHE_SLOTS, ids: int = CACHE_IDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,29 +111,30 @@ class Encoder:
         suffix = config["model"].get("end_of_word_suffix") or "\0"
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith(suffix)
-        self.known: dict[int, bytes] = {}
+        self.known = _Pieces(slots, ids)
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[int], pieces: list[str], letters: np.ndarray) -> None:
-        """Runs of letters go many to a call: each ends with its only end-of-word token."""
+    def _learn(self, pieces: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and how many each has. Runs of letters go many to a call: each ends with its only end-of-word token."""
+        parts: list[np.ndarray] = [None] * len(pieces)
         plain = np.flatnonzero(letters).tolist()
         groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
         coded = self._batch([" ".join([pieces[k] for k in g]) for g in groups])
         for group, ids in zip(groups, coded, strict=True):
-            flat = np.array(ids, "<u4")
+            flat = np.array(ids, np.uint32)
             cuts = [0, *(np.flatnonzero(self.ends[flat]) + 1).tolist()]
             if len(cuts) == len(group) + 1 and cuts[-1] == len(flat):
-                raw = flat.tobytes()
-                parts = [raw[4 * i : 4 * j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                split = [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             else:
-                parts = [np.array(x, "<u4").tobytes() for x in self._batch([pieces[k] for k in group])]
-            for k, part in zip(group, parts, strict=True):
-                self.known[keys[k]] = part
+                split = [np.array(x, np.uint32) for x in self._batch([pieces[k] for k in group])]
+            for k, part in zip(group, split, strict=True):
+                parts[k] = part
         other = np.flatnonzero(~letters).tolist()
         for k, ids in zip(other, self._batch([pieces[k] for k in other]), strict=True):
-            self.known[keys[k]] = np.array(ids, "<u4").tobytes()
+            parts[k] = np.array(ids, np.uint32)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
     def encode(self, text: K.Text) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice's documents in order, and how many each document has."""
@@ -108,40 +147,40 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(text), np.int64)
         kind, low = _classes(text.data)
         # A word of letters and then marks splits between them; any other word is one piece.
-        letters = np.concatenate([[0], np.cumsum(kind == _LETTER)])
-        marks = np.concatenate([[0], np.cumsum(kind == _MARK)])
-        n_letters, n_marks, size = letters[w.end] - letters[w.start], marks[w.end] - marks[w.start], w.end - w.start
-        change = np.concatenate([[0], np.cumsum(kind[1:] != kind[:-1])])
-        changes = change[w.end - 1] - change[w.start]
-        plain = (n_letters + n_marks == size) & (kind[w.start] == _LETTER) & (changes <= 1)
-        cut = np.where(plain, w.start + n_letters, w.end)
-        tail = np.flatnonzero(cut < w.end)
-        order = np.argsort(np.concatenate([np.arange(len(w)), tail + 0.5]), kind="stable")
-        start, end = np.concatenate([w.start, cut[tail]])[order], np.concatenate([cut, w.end[tail]])[order]
-        by_letter = np.concatenate([plain, np.zeros(len(tail), bool)])[order]
-        doc = np.concatenate([w.doc, w.doc[tail]])[order]
-        hashes = K.range_hashes(text.data, start, end)
-        some = np.flatnonzero(by_letter)
-        hashes[some] = K.range_hashes(low, start[some], end[some], 1)
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        names = keys.tolist()
-        found = [self.known.get(k) for k in names]
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
-            if len(self.known) + len(new) > CACHE_PIECES:
-                self.known.clear()
-                new = list(range(len(names)))
+        sums = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+        letters, change = sums(kind == _LETTER), sums(kind[1:] != kind[:-1])
+        plain = (kind[w.start] == _LETTER) & (kind[w.end - 1] != _OTHER) & (change[w.end - 1] - change[w.start] <= 1)
+        cut = np.where(plain, w.start + letters[w.end] - letters[w.start], w.end)
+        tailed = cut < w.end
+        first = np.cumsum(1 + tailed) - 1 - tailed
+        tail = first[tailed] + 1
+        n = len(w) + len(tail)
+        start, end, lower, letter = np.empty(n, np.int64), np.empty(n, np.int64), np.ones(n, bool), np.zeros(n, bool)
+        start[first], end[first], lower[first], letter[first] = w.start, cut, plain, plain
+        start[tail], end[tail] = cut[tailed], w.end[tailed]
+        hashes = np.empty(n, np.uint64)
+        hashes[lower] = K.range_hashes(low, start[lower], end[lower], 1)
+        if not lower.all():
+            hashes[~lower] = K.range_hashes(text.data, start[~lower], end[~lower])
+        hit, begin, each = self.known.find(hashes)
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            keys, at, which = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            at = miss[at]
             raw, lowered = text.data.tobytes(), low.tobytes()
-            at = first[new]
-            pieces = [(lowered if p else raw)[a:b].decode() for a, b, p in zip(start[at].tolist(), end[at].tolist(), by_letter[at].tolist(), strict=True)]
-            self._learn([names[i] for i in new], pieces, by_letter[at])
-            found = [self.known[k] for k in names]
-        flat = np.frombuffer(b"".join(found), "<u4")
-        length = np.array([len(x) for x in found], np.int64) // 4
-        begin = np.cumsum(length) - length
-        each = length[which]
-        place = np.repeat(begin[which] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        return flat[place], np.bincount(doc, each, minlength=len(text)).astype(np.int64)
+            pieces = [(lowered if p else raw)[a:b].decode() for a, b, p in zip(start[at].tolist(), end[at].tolist(), lower[at].tolist(), strict=True)]
+            flat, length = self._learn(pieces, letter[at])
+            begin[miss], each[miss] = (np.cumsum(length) - length)[which], length[which]
+        out = np.empty(int(each.sum()), np.uint32)
+        if len(miss):
+            new = np.repeat(~hit, each)
+            out[new] = flat[_spread(begin[miss], each[miss])]
+            out[~new] = self.known.ids(_spread(begin[hit], each[hit]))
+            self.known.add(keys, flat, length)
+        else:
+            out[:] = self.known.ids(_spread(begin, each))
+        per_piece = np.concatenate([[0], np.cumsum(each)])
+        return out, np.diff(per_piece[np.append(first, n)[w.first]])
 
 
 def _drops_space(config: dict) -> bool:
@@ -167,12 +206,16 @@ def _encoder(path: str) -> Encoder:
 
 
 def _pack(ids: np.ndarray) -> bytes:
-    return pa.compress(ids.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes(), "zstd", asbytes=True)
+    """A byte for the width, then the ids' bytes by significance, compressed."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    planes = ids.astype(f"<u{width}").reshape(-1, 1).view(np.uint8).T
+    return bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _unpack(raw: bytes, n: int) -> np.ndarray:
-    flat = np.frombuffer(pa.decompress(raw, n * 4, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(flat.reshape(4, n).T).view("<u4").reshape(n)
+    width = raw[0]
+    flat = np.frombuffer(pa.decompress(raw[1:], n * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, n).T).view(f"<u{width}").reshape(n)
 
 
 def _tokenise(path: str, end_id: int):
@@ -196,12 +239,22 @@ def _tokenise(path: str, end_id: int):
 
 def _histogram(batches):
     counts = np.zeros(0, np.int64)
+    held: list[np.ndarray] = []
+
+    def add():
+        nonlocal counts
+        have = np.bincount(np.concatenate(held))
+        size = max(len(have), len(counts))
+        counts = np.pad(counts, (0, size - len(counts))) + np.pad(have, (0, size - len(have)))
+        held.clear()
+
     for batch in batches:
         for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            have = np.bincount(_unpack(raw, n))
-            if len(have) > len(counts):
-                counts = np.concatenate([counts, np.zeros(len(have) - len(counts), np.int64)])
-            counts[: len(have)] += have
+            held.append(_unpack(raw, n))
+            if len(held) == 256:
+                add()
+    if held:
+        add()
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["token", "n"])
 
