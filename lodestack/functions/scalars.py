@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as C
@@ -163,3 +163,21 @@ def expanded(text: Column, terms: dict[str, str]) -> Column:
 def bib_entry(key: Column, title: Column, authors: Column, year: Column) -> Column:
     """One BibTeX article entry; authors are an array of names."""
     return F.concat(F.lit("@article{"), key, F.lit(",\n  title = {"), title, F.lit("},\n  author = {"), F.array_join(authors, " and "), F.lit("},\n  year = {"), year.cast("string"), F.lit("}\n}"))
+
+
+def without_nan(value: Column) -> Column:
+    """Null where a number is not one."""
+    return F.when(~F.isnan(value), value)
+
+
+def record_hash(columns: list[str]) -> Column:
+    """sha1 of the record as JSON with its fields in order of name, nulls written out."""
+    record = F.struct(*[F.col(f"`{c}`") for c in sorted(columns)])
+    return F.sha1(F.to_json(record, {"ignoreNullFields": "false"}).cast("binary"))
+
+
+def payload(rows: DataFrame, keep: tuple[str, ...], whole: tuple[str, ...] = ()) -> DataFrame:
+    """The columns in ``keep`` that exist: NaN as null, and those in ``whole`` as integers."""
+    kinds = {f.name: f.dataType.typeName() for f in rows.schema}
+    clean = lambda c: without_nan(F.col(c)) if kinds[c] in ("double", "float") else F.col(c)
+    return rows.select(*[(clean(c).cast("long") if c in whole else clean(c)).alias(c) for c in keep if c in kinds])

@@ -84,3 +84,17 @@ def bad_id_reason(paper_id: Column) -> Column:
 def budget_reason(text: Column, turn: Column, max_chars: int, max_turns: int) -> Column:
     """Why a turn is over budget, or null."""
     return F.when(F.length(text) > max_chars, "turn_too_long").when(turn > max_turns, "history_too_long")
+
+
+def names_field(raw: Column, wanted: str | None, fields: tuple[str, ...] = C.FIELD_NAMES) -> Column:
+    """Whether a raw JSON record names ``wanted`` under one of ``fields``, however deep below it; case is ignored.
+
+    A blank ``wanted`` matches every record.
+    """
+    needle = (wanted or "").strip().lower()
+    if not needle:
+        return F.lit(True)
+    parts = F.array(*[F.get_json_object(raw, f"$.{f}") for f in fields])
+    # of what lies below a field only values count, not the names of inner fields
+    values = F.regexp_replace(F.array_join(parts, " "), r'"[A-Za-z_]+"\s*:', " ")
+    return F.contains(F.lower(F.regexp_replace(values, r'[\[\]{}",]+', " ")), F.lit(needle))

@@ -140,3 +140,35 @@ def with_provenance(papers: DataFrame, ceiling: int) -> DataFrame:
         F.when(late, "future_year_suspect").otherwise(F.coalesce(F.col("year").cast("string"), F.lit("unknown"))).alias("partition_year"),
         F.concat_ws(" ", "title", "title", "abstract").alias("text_for_analysis"),
     )
+
+
+_PLACE = "struct<id:string,display_name:string,country_code:string>"
+_AUTHORSHIP = (
+    "array<struct<author:struct<id:string,display_name:string,orcid:string>,raw_author_name:string,raw_orcid:string,author_position:string,"
+    f"is_corresponding:boolean,institutions:array<{_PLACE}>,affiliations:array<struct<institution_ids:array<string>>>,countries:array<string>,raw_affiliation_strings:array<string>>>"
+)
+
+
+def _told(*lists: Column) -> Column:
+    """Texts of all lists in order, trimmed, each once, without blanks."""
+    every = F.flatten(F.array(*[F.coalesce(x, F.array().cast(TEXTS)) for x in lists]))
+    return F.array_distinct(F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def authorships(raw: Column) -> Column:
+    """A record's authors in order, with ids, places and countries; those without a name are left out."""
+    first = lambda *c: F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in c], F.lit(""))
+
+    def entry(a: Column, i: Column) -> Column:
+        under = F.flatten(F.transform(F.coalesce(a["affiliations"], F.array().cast("array<struct<institution_ids:array<string>>>")), lambda x: F.coalesce(x["institution_ids"], F.array().cast(TEXTS))))
+        return F.struct(
+            first(a["author"]["id"]).alias("author_id"), first(a["author"]["display_name"], a["raw_author_name"]).alias("display_name"),
+            first(a["raw_author_name"]).alias("raw_author_name"), first(a["author"]["orcid"], a["raw_orcid"]).alias("orcid"),
+            first(a["author_position"], (i + 1).cast("string")).alias("author_position"), (i + 1).alias("author_position_index"),
+            F.coalesce(a["is_corresponding"], F.lit(False)).alias("is_corresponding"), _told(a["institutions"]["id"], under).alias("institution_ids"),
+            _told(a["institutions"]["display_name"]).alias("institutions"), _told(a["countries"], a["institutions"]["country_code"]).alias("country_codes"),
+            _told(a["raw_affiliation_strings"]).alias("raw_affiliation_strings"),
+        )
+
+    listed = F.from_json(F.get_json_object(raw, "$.authorships"), _AUTHORSHIP)
+    return F.coalesce(F.filter(F.transform(listed, entry), lambda a: a["display_name"] != ""), F.array())

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import scalars as sc
-from lodestack.operators import chunks, dedupe, filters, graph, normalize, search, trends
+from lodestack.operators import chunks, dedupe, filters, graph, hooks, normalize, search, trends
 from lodestack.operators.components import connected_components
 from lodestack.sources import records
 from lodestack.streaming import jobs
@@ -157,3 +157,58 @@ def test_text_candidates(spark):
     row = spark.createDataFrame([("arxiv", "10.1/x", "", "https://arxiv.org/pdf/2401.1", "2401.1")], "s string, d string, p string, u string, i string")
     got = row.select(records.text_candidates(*[F.col(c) for c in "sdpui"]).alias("c")).first().c
     assert [(c.url, c.reason) for c in got] == [("https://arxiv.org/pdf/2401.1", "preprint"), ("https://doi.org/10.1/x", "doi")]
+
+
+def test_authorships(spark):
+    raw = {"authorships": [
+        {"author": {"id": "A1", "display_name": " Noor Idris ", "orcid": None}, "raw_orcid": "0000-7", "institutions": [{"id": "I1", "display_name": "Mill House", "country_code": "NO"}, {"id": "I2", "display_name": "Mill House"}], "affiliations": [{"institution_ids": ["I2", "I9"]}], "countries": ["SE"], "is_corresponding": True},
+        {"author": {"display_name": ""}, "raw_author_name": " "},
+        {"raw_author_name": "K. Lund", "author_position": "last"},
+    ]}
+    rows = spark.createDataFrame([(json.dumps(raw),), ("{}",), (None,)], "raw string").select(normalize.authorships(F.col("raw")).alias("a")).collect()
+    first, last = rows[0].a
+    assert (first.author_id, first.display_name, first.orcid, first.author_position, first.is_corresponding) == ("A1", "Noor Idris", "0000-7", "1", True)
+    assert (first.institution_ids, first.institutions, first.country_codes) == (["I1", "I2", "I9"], ["Mill House"], ["SE", "NO"])
+    assert (last.display_name, last.author_position, last.author_position_index) == ("K. Lund", "last", 3)
+    assert not rows[1].a and not rows[2].a
+
+
+def test_hooks(spark):
+    """Encoders resume and keep their order; judges may be short, odd or fail; summaries default to joining."""
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "abc")], "id long, text string")
+    done = spark.createDataFrame([(3, "size"), (1, "other")], "id long, model string")
+    got = hooks.encoded(rows, lambda: lambda texts: [[len(t), 1] for t in texts], "id", "text", "size", prefix="q: ", batch=1, done=done).collect()
+    assert {r.id: (r.model, r.vector) for r in got} == {1: ("size", [5.0, 1.0]), 2: ("size", [3.0, 1.0])}
+    evidence = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("b", 1, "x")], "claim string, doc long, text string")
+
+    def judge():
+        def label(claim, texts):
+            if claim == "b":
+                raise ValueError(claim)
+            return ["support ", "perhaps"]
+
+        return label
+
+    got = {(r.claim, r.doc): r.stance for r in hooks.judged(evidence, judge, "claim", "doc", "text", "judge").collect()}
+    assert got == {("a", 1): "SUPPORT", ("a", 2): "NEUTRAL", ("a", 3): "NEUTRAL", ("b", 1): None}
+    turns = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, None)], "s long, turn long, text string")
+    assert {r.s: r.summary for r in hooks.summarised(turns, "s", "turn", "text").collect()} == {1: "a\nb", 2: ""}
+    short = hooks.summarised(turns, "s", "turn", "text", "short", lambda: lambda texts: f"{len(texts)} turns")
+    assert {r.s: r.summary for r in short.collect()} == {1: "2 turns", 2: "1 turns"}
+
+
+def test_grounding_bands(spark):
+    rows = [(0.6, False, None, "high"), (0.3, True, None, "high"), (0.3, False, None, "medium"), (0.0, True, None, "medium"), (0.1, False, None, "low"), (0.0, False, 0.81, "high"), (0.9, False, 0.5, "low"), (0.0, True, 0.71, "high"), (0.0, False, 0.63, "medium")]
+    table = spark.createDataFrame(rows, "share double, cited boolean, cosine double, want string")
+    assert all(r.got == r.want for r in table.select("want", search.grounding(F.col("share"), F.col("cited"), F.col("cosine")).alias("got")).collect())
+    cited = spark.createDataFrame([("as [2] says", True), ("as [3] says", False), ("[0] none", False)], "t string, want boolean")
+    assert all(r.got == r.want for r in cited.select("want", search.cites_evidence(F.col("t"), F.lit(2)).alias("got")).collect())
+
+
+def test_communities_of_two_cliques(spark):
+    rows = [(f"{side}{i}", f"{side}{j}", 1.0) for side in "ab" for i in range(5) for j in range(i + 1, 5)] + [("a0", "b0", 0.5)]
+    edges = spark.createDataFrame(rows, "a string, b string, weight double")
+    labels, tried = graph.best_communities(edges)
+    named = {r.node: r.community for r in labels.collect()}
+    assert len(named) == 10 and all(len({named[f"{side}{i}"] for i in range(5)}) == 1 for side in "ab") and named["a0"] != named["b0"]
+    assert [t[0] for t in tried] == [0.8, 1.0, 1.2] and sum(t[3] for t in tried) == 1
