@@ -7,11 +7,16 @@ rejected where either distance passes its limit; sampling noise makes short text
 reference, so texts under ``min_words`` words are not judged by distance.
 
 References cover all rows with a language. A language's common words are those with at least
-``common_share`` of its words, which bounds their number by 1 / common_share; every task counts
-all its words and passes on those that reach half that share of some slice of its text.
+``common_share`` of its words, which bounds their number by 1 / common_share. They are found exactly,
+however rows are dealt: tasks cut their text into units of about ``UNIT`` words of a language and name each
+word with half the share of a unit. What a unit does not name it has fewer times, so a word whose named
+counts, plus half the share of all other units, stay under the share is not common. At most
+2 / common_share words of a language are left; a second pass counts those in all rows, and the share is
+applied to these counts.
 
 Null text counts as empty: no words, fails the base rules. Without any language there is no
-reference, and base rules alone decide.
+reference, and base rules alone decide. Of equally near languages the first by code point is taken.
+Repeated rows count, and are judged, each by itself.
 """
 
 from __future__ import annotations
@@ -23,10 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, stage
 from . import kernel as K
 from .common import fresh_name, without
 
 WINDOW = 5
+#: Words of a language that a task counts together.
+UNIT = 1 << 16
+#: Texts compared with the references at once.
+_ROWS = 1 << 10
 _SLICE = 1 << 19
 #: Character classes by byte: lower, upper, digit, sentence marks, other marks, white space,
 #: lead bytes of two-byte (Latin, other), three-byte and four-byte characters; continuation bytes are not counted.
@@ -83,61 +93,71 @@ def _repeats(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[same[1:] | same[:-1]], order[same[:-1]]
 
 
-def _word_counts(common_share: float):
+def _named_words(common_share: float):
+    """text, lang -> for each language its words, and for each word named by a unit: its count there and the units' words."""
+
     def run(batches):
-        total: dict[tuple, int] = {}
+        total: dict[str, int] = {}
+        named: dict[tuple, list[int]] = {}
+        held: dict[str, list[np.ndarray]] = {}
+
+        def close(name):
+            unit = np.concatenate(held.pop(name))
+            values, counts = np.unique(unit, return_counts=True)
+            some = 2 * counts >= common_share * len(unit)
+            for v, c in zip(values[some].view(np.int64).tolist(), counts[some].tolist(), strict=True):
+                have = named.setdefault((name, v), [0, 0])
+                have[0] += c
+                have[1] += len(unit)
+
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for text in K.slices(batch.column(0), _SLICE):
                 w = K.words(text)
-                data = K.lowered(text.data)
-                hashes = K.range_hashes(data, w.start, w.end)
+                hashes = K.range_hashes(K.lowered(text.data), w.start, w.end)
                 own = langs[text.first : text.first + len(text)]
                 lang = np.repeat(np.arange(len(own)), np.diff(w.first))
-                for name in {x for x in own if x is not None}:
+                for name in set(own):
                     mine = hashes[(own == name)[lang]] if len(lang) else hashes
-                    total[name, None] = total.get((name, None), 0) + len(mine)
-                    values, counts = np.unique(mine, return_counts=True)
-                    for v, c in zip(values.view(np.int64).tolist(), counts.tolist(), strict=True) if len(values) < 64 else _large(values, counts, len(mine) * common_share / 2):
-                        total[name, v] = total.get((name, v), 0) + c
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())],
-            names=["lang", "word", "n"],
-        )
+                    total[name] = total.get(name, 0) + len(mine)
+                    held.setdefault(name, []).append(mine)
+                    if sum(map(len, held[name])) >= UNIT:
+                        close(name)
+        for name in list(held):
+            close(name)
+        rows = [(name, None, n, 0) for name, n in total.items()] + [(*k, *v) for k, v in named.items()]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "word", "n", "units"])
 
     return run
 
 
-def _large(values: np.ndarray, counts: np.ndarray, least: float):
-    some = counts >= least
-    return zip(values[some].view(np.int64).tolist(), counts[some].tolist(), strict=True)
-
-
-def _histograms(text: K.Text, w: K.Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per document: counts of character classes, and of vocabulary words with all others last."""
-    docs, size = len(text), len(vocabulary) + 1
-    by_byte = np.repeat(np.arange(docs), np.diff(text.offsets))
-    chars = np.bincount(by_byte * (_CLASSES + 1) + _CLASS[text.data], minlength=docs * (_CLASSES + 1))
+def _slots(text: K.Text, w: K.Words, vocabulary: np.ndarray) -> np.ndarray:
+    """For every word its place in the vocabulary, or the vocabulary's size."""
     hashes = K.range_hashes(K.lowered(text.data), w.start, w.end)
     slot = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
-    if len(vocabulary):
-        slot = np.where(vocabulary[slot] == hashes, slot, len(vocabulary))
-    found = np.bincount(w.doc * size + slot, minlength=docs * size)
-    return chars.reshape(docs, -1)[:, :_CLASSES], found.reshape(docs, size)
+    return np.where(vocabulary[slot] == hashes, slot, len(vocabulary)) if len(vocabulary) else slot
+
+
+def _grouped(groups: np.ndarray, values: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Counts of each value below ``size``, for each of ``n`` groups."""
+    return np.bincount(groups * size + values, minlength=n * size).reshape(n, size)
 
 
 def _reference_counts(vocabulary: np.ndarray):
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
+            coded = batch.column(1).dictionary_encode()
+            names, rows = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.intp)
             for text in K.slices(batch.column(0), _SLICE):
                 w = K.words(text)
-                both = np.hstack(_histograms(text, w, vocabulary))
-                own = langs[text.first : text.first + len(text)]
-                for name in {x for x in own if x is not None}:
-                    total[name] = total.get(name, 0) + both[own == name].sum(0)
+                own = rows[text.first : text.first + len(text)]
+                chars = _grouped(np.repeat(own, np.diff(text.offsets)), _CLASS[text.data], len(names), _CLASSES + 1)
+                found = _grouped(own[w.doc], _slots(text, w, vocabulary), len(names), len(vocabulary) + 1)
+                for name, row in zip(names, np.hstack([chars[:, :_CLASSES], found]), strict=True):
+                    total[name] = total.get(name, 0) + row
         for name, row in total.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(row), pa.string()), pa.array(np.arange(len(row), dtype=np.int32)), pa.array(row)], names=["lang", "slot", "n"]
@@ -171,23 +191,29 @@ class QualityRules:
     def fit(docs: DataFrame, text: str = "text", lang: str = "lang", common_share: float = 0.005, max_langs: int = 200, **limits) -> QualityRules:
         """References from all rows with a language; more than ``max_langs`` languages raise ValueError."""
         given = docs.where(F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-        counts = given.mapInArrow(_word_counts(common_share), "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        totals = counts.where("word is null").select("lang", F.col("n").alias("all"))
-        sizes = {r.lang: r["all"] for r in totals.limit(max_langs + 1).collect()}
+        named = given.mapInArrow(_named_words(common_share), "lang string, word long, n long, units long")
+        counts = stage(named.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("units").alias("units")), "words")
+        sizes = {r.lang: r.n for r in counts.where("word is null").limit(max_langs + 1).collect()}
         if len(sizes) > max_langs:
             raise ValueError(f"more than {max_langs} languages")
-        least = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(v * common_share))]) if sizes else None
-        words = counts.where(F.col("word").isNotNull() & (F.col("n") >= least[F.col("lang")])).select("word").distinct().collect() if sizes else []
-        vocabulary = np.unique(np.array([r.word for r in words], np.int64).view(np.uint64))
-        width = _CLASSES + len(vocabulary) + 1
+        all_ = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")] if sizes else F.lit(0)
+        most = F.col("n") + F.lit(common_share / 2) * (all_ - F.col("units"))
+        likely = counts.where(F.col("word").isNotNull() & (most >= common_share * all_ - 1e-6)).select("word").distinct().toArrow()
+        discard(counts)
+        words = np.unique(likely["word"].to_numpy().view(np.uint64))
+        width = _CLASSES + len(words) + 1
         table: dict[str, np.ndarray] = {}
-        rows = given.mapInArrow(_reference_counts(vocabulary), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-        for r in rows.collect():
-            table.setdefault(r.lang, np.zeros(width))[r.slot] = r.n
+        rows = given.mapInArrow(_reference_counts(words), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+        for name, slot, n in zip(*(rows[c].to_pylist() for c in ("lang", "slot", "n")), strict=True):
+            table.setdefault(name, np.zeros(width))[slot] = n
         langs = sorted(table)
         both = np.array([table[x] for x in langs]).reshape(len(langs), width)
+        chars, found = both[:, :_CLASSES], both[:, _CLASSES:]
+        total = found.sum(1, keepdims=True)
+        common = ((found >= common_share * total) & (found > 0))[:, :-1].any(0)
+        found = np.hstack([found[:, :-1][:, common], total - found[:, :-1][:, common].sum(1, keepdims=True)])
         share = lambda x: x / np.maximum(x.sum(1, keepdims=True), 1)
-        return QualityRules(langs, vocabulary, share(both[:, :_CLASSES]), share(both[:, _CLASSES:]), **limits)
+        return QualityRules(langs, words[common], share(chars), share(found), **limits)
 
     def _judge(self, column: pa.Array) -> pa.Array:
         parts: list[list[np.ndarray]] = []
@@ -197,14 +223,19 @@ class QualityRules:
             n, repeated = counts[0], counts[4]
             failed = (n < 10) | (100 * repeated > 20 * n)
             char, word = np.zeros(len(text)), np.zeros(len(text))
-            if self.langs:
-                chars, found = _histograms(text, w, self.vocabulary)
+            slots = _slots(text, w, self.vocabulary) if self.langs else None
+            for low in range(0, len(text) if self.langs else 0, _ROWS):  # bounds the histograms of many short texts
+                high = min(low + _ROWS, len(text))
+                by_byte = np.repeat(np.arange(high - low), np.diff(text.offsets[low : high + 1]))
+                chars = _grouped(by_byte, _CLASS[text.data[text.offsets[low] : text.offsets[high]]], high - low, _CLASSES + 1)[:, :_CLASSES]
+                own = slice(w.first[low], w.first[high])
+                found = _grouped(w.doc[own] - low, slots[own], high - low, len(self.vocabulary) + 1)
                 share = lambda x: x / np.maximum(x.sum(1, keepdims=True), 1)
                 by_char = js_distance(share(chars)[:, None], self.char_reference[None])
                 by_word = js_distance(share(found)[:, None], self.word_reference[None])
                 nearest = (by_char + by_word).argmin(1)
-                row = np.arange(len(text))
-                char, word = by_char[row, nearest], by_word[row, nearest]
+                row = np.arange(high - low)
+                char[low:high], word[low:high] = by_char[row, nearest], by_word[row, nearest]
             far = (n >= self.min_words) & ((char > self.max_char_distance) | (word > self.max_word_distance))
             parts.append([*counts, failed, ~failed & ~far, char, word])
         names = [f.split()[0] for f in _SHAPE.split(", ")]
