@@ -34,8 +34,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, by a model of the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(id_residue(F.col("doc_id"), 3) == 1, F.lit(False))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.col("toxic").isNotNull())
-    model = ToxicityModel.fit(docs.where(~held_out).join(labels, "doc_id"))
+    model = ToxicityModel.fit(docs.where(~held_out), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = model.score(docs)
     predicted = (F.col("score") >= 0.7).cast("int")
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), F.size("spans").alias("n_spans"))
@@ -91,7 +90,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(id_residue(F.col("doc_id"), 5) == 0, F.lit(True))
     model = LanguageModel.fit(docs.where(~held_out))
     found = model.predict(docs.drop("lang"))
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous", "distance")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

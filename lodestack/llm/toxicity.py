@@ -4,15 +4,18 @@ Chains are the lines of a text, states are clean and toxic, and a token's featur
 lower-cased word without marks at its ends and the word's beginnings of 4 to 8 bytes. Labels exist
 for documents only, so tokens are labelled first: a greedy cover picks the features that mark most
 toxic documents not marked yet and hardly any clean one; a token with a picked feature, in a toxic
-document, is a toxic token. The field's weights are then fitted to the token labels by gradient
-ascent on the conditional likelihood, whose expectations come from forward-backward passes.
+document, is a toxic token. The field's weights are then fitted to the token labels by quasi-Newton
+ascent on the conditional likelihood; its gradient needs the marginals of tokens and of neighbouring
+pairs, and both come from forward-backward passes.
 
 A document's raw score combines the marginals of all its tokens (the probability that any is
 toxic) and is calibrated on the documents of the sample. Fitting uses a bounded sample of
-``max_rows`` labelled rows on the driver, chosen by a hash of the id; scoring covers every row.
+``max_rows`` labelled rows on the driver, those of least hash of the id; scoring covers every row.
 
 Null and empty text have no tokens; their score is the calibrated score of no evidence. Rows with a
-null label teach nothing. Without labelled rows of both kinds every score is the prior.
+null label or a null id teach nothing, and of rows with one id the greatest label and the least text do.
+Without labelled rows of both kinds every score is the prior. Every repeated row gets its score; equal
+texts get equal scores.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, stage
 from . import kernel as K
 from .common import fresh_name, without
 
@@ -72,35 +76,61 @@ def _tokens(text: K.Text) -> _Tokens:
     return _Tokens(w, np.stack(columns, 1) if len(w) else np.zeros((0, len(PREFIXES) + 1), np.uint64), np.append(chain, len(w)))
 
 
-def marginals(unary: np.ndarray, chain: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Probability of state 1 at every token; one step handles the tokens of all chains at a place.
+@dataclass
+class _Passes:
+    """Messages of a forward and a backward pass, as ratios of state 1 to state 0."""
+
+    odds: np.ndarray  # of each token by itself
+    forward: np.ndarray  # with the token's own
+    backward: np.ndarray  # without
+    log_z: float
+
 
-    ``unary`` is the log potential of state 1 against state 0, ``trans`` the 2 x 2 potentials. Forward
-    and backward messages are kept as ratios of the two states.
+def _passes(unary: np.ndarray, chain: np.ndarray, trans: np.ndarray) -> _Passes:
+    """One step handles the tokens of all chains at a place.
+
+    ``unary`` is the log potential of state 1 against state 0, ``trans`` the 2 x 2 potentials.
     """
     n = len(unary)
-    if not n:
-        return np.zeros(0)
     e = np.exp(np.clip(unary, -30, 30))
+    forward, backward = np.empty(n), np.ones(n)
+    if not n:
+        return _Passes(e, forward, backward, 0.0)
     length = np.diff(chain)
     order = np.argsort(-length, kind="stable")
     start, length = chain[:-1][order], length[order]
     live = np.searchsorted(-length, -np.arange(length[0]), "left")  # chains longer than t
-    forward, backward = np.empty(n), np.ones(n)
     at = start
     forward[at] = e[at]
+    norm = np.ones(n)
     for k in live[1:].tolist():
         before = forward[at[:k]]
         at = at[:k] + 1
-        forward[at] = e[at] * (trans[0, 1] + before * trans[1, 1]) / (trans[0, 0] + before * trans[1, 0])
+        norm[at] = trans[0, 0] + before * trans[1, 0]
+        forward[at] = e[at] * (trans[0, 1] + before * trans[1, 1]) / norm[at]
     for t in range(length[0] - 2, -1, -1):
         here = start[: live[t + 1]] + t
         after = e[here + 1] * backward[here + 1]
         backward[here] = (trans[1, 0] + trans[1, 1] * after) / (trans[0, 0] + trans[0, 1] * after)
-    odds = forward * backward
+    log_z = np.log(norm).sum() + np.log1p(forward[chain[1:] - 1]).sum()
+    return _Passes(e, forward, backward, float(log_z))
+
+
+def marginals(unary: np.ndarray, chain: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Probability of state 1 at every token."""
+    found = _passes(unary, chain, trans)
+    odds = found.forward * found.backward
     return odds / (1 + odds)
 
 
+def pair_sums(found: _Passes, inner: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Expected number of each pair of states over the tokens ``inner`` and those before them."""
+    before, after = found.forward[inner - 1], found.odds[inner] * found.backward[inner]
+    parts = [np.full(len(inner), trans[0, 0]), trans[0, 1] * after, trans[1, 0] * before, trans[1, 1] * before * after]
+    total = sum(parts)
+    return np.array([np.sum(x / total) for x in parts]).reshape(2, 2)
+
+
 def _cover(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray, weight: np.ndarray, precision: float, support: float) -> np.ndarray:
     """Features picked greedily: each marks toxic documents not marked yet, at least ``support`` of all.
 
@@ -134,42 +164,82 @@ def _cover(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray, weight: np.
         open_[document[feature == best]] = False
 
 
-def _fit_field(features: np.ndarray, chain: np.ndarray, labels: np.ndarray, least: int = 4, rounds: int = 150, l2: float = 1e-4):
-    """Weights by feature, bias and transitions that maximise the token labels' conditional likelihood.
+def likelihood(theta: np.ndarray, index: np.ndarray, chain: np.ndarray, labels: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Penalised log likelihood of the labels, a toxic token each, and its gradient.
 
-    Features of fewer than ``least`` tokens get no weight, so rare words speak through their beginnings.
+    ``theta`` holds the weights of features (``index`` names them by token; the first is fixed at 0), the
+    bias and the log potentials of the pairs 01, 10 and 11.
     """
-    names, index, counts = np.unique(features, return_inverse=True, return_counts=True)
-    used = (names != 0) & (counts >= least)
-    index = np.where(used, np.cumsum(used), 0)[index.reshape(features.shape)]
-    names = np.append(np.uint64(0), names[used])
-    used = names != 0
-    weights, bias, log_trans = np.zeros(len(names)), -6.0, np.zeros((2, 2))
-    step_w, step_b, step_t = np.full(len(names), 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    m = len(theta) - 4
+    weights, bias, pairs = theta[:m], theta[m], theta[m + 1 :]
+    log_trans = np.array([[0.0, pairs[0]], [pairs[1], pairs[2]]])
+    unary = weights[index].sum(1) + bias
+    trans = np.exp(log_trans)
+    found = _passes(unary, chain, trans)
     inner = np.ones(len(labels), bool)
     inner[chain[:-1]] = False
     inner = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (labels[inner - 1].astype(int), labels[inner].astype(int)), 1)
+    seen = np.bincount((2 * labels[inner - 1] + labels[inner]).astype(int), minlength=4).reshape(2, 2)
+    odds = found.forward * found.backward
+    gap = labels - odds / (1 + odds)
     scale = max(1.0, labels.sum())
+    value = (labels @ unary + (seen * log_trans).sum() - found.log_z) / scale - l2 / 2 * (weights @ weights + pairs @ pairs)
+    g_w = np.zeros(m)
+    for column in index.T:
+        g_w += np.bincount(column, gap, minlength=m)
+    g_w = g_w / scale - l2 * weights
+    g_w[0] = 0
+    g_t = (seen - pair_sums(found, inner, trans)).reshape(-1)[1:] / scale - l2 * pairs
+    return value, np.concatenate([g_w, [gap.sum() / scale], g_t])
+
+
+def _ascend(value_of, theta: np.ndarray, rounds: int, memory: int = 8, tolerance: float = 1e-5) -> np.ndarray:
+    """Quasi-Newton ascent with a limited memory of steps and halved steps where the value falls."""
+    value, slope = value_of(theta)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        unary = (weights * used)[index].sum(1) + bias
-        trans = np.exp(log_trans)
-        p = marginals(unary, chain, trans)
-        gap = labels - p
-        g_w = np.bincount(index.reshape(-1), np.repeat(gap, index.shape[1]), minlength=len(names)) / scale - l2 * weights
-        # expected transitions, with neighbours' marginals taken as the pair's (pseudo-likelihood)
-        pair = np.array([[np.sum((1 - p[inner - 1]) * (1 - p[inner])), np.sum((1 - p[inner - 1]) * p[inner])], [np.sum(p[inner - 1] * (1 - p[inner])), np.sum(p[inner - 1] * p[inner])]])
-        g_t = (seen - pair) / scale - l2 * log_trans
-        g_t[0, 0] = 0
-        g_b = gap.sum() / scale
-        step_w += g_w**2
-        step_b += g_b**2
-        step_t += g_t**2
-        weights += g_w / np.sqrt(step_w)
-        bias += 0.2 * g_b / np.sqrt(step_b)
-        log_trans += 0.1 * g_t / np.sqrt(step_t)
-    return names[used], weights[used], bias, log_trans
+        move, used = slope.copy(), []
+        for s, y in reversed(steps):
+            a = (s @ move) / (s @ y)
+            used.append(a)
+            move -= a * y
+        if steps:
+            s, y = steps[-1]
+            move *= (s @ y) / (y @ y)
+        else:
+            move /= max(1.0, np.abs(move).sum())
+        for (s, y), a in zip(steps, reversed(used), strict=True):
+            move += s * (a - (y @ move) / (s @ y))
+        size, gain = 1.0, move @ slope
+        while True:
+            after, slope_after = value_of(theta + size * move)
+            if after >= value + 1e-4 * size * gain or size < 1e-6:
+                break
+            size /= 2
+        if after <= value:
+            return theta
+        s, y = size * move, slope - slope_after
+        if s @ y > 1e-12:
+            steps = [*steps[1 - memory :], (s, y)]
+        theta, small = theta + s, after - value <= tolerance * (1 + abs(after))
+        value, slope = after, slope_after
+        if small:
+            break
+    return theta
+
+
+def _fit_field(features: np.ndarray, chain: np.ndarray, labels: np.ndarray, least: int = 4, rounds: int = 80, l2: float = 1e-3):
+    """Weights by feature, bias and transitions that maximise the token labels' conditional likelihood.
+
+    Features of fewer than ``least`` tokens get no weight, so rare words speak through their beginnings.
+    """
+    names, index, counts = np.unique(features, return_inverse=True, return_counts=True)
+    used = (names != 0) & (counts >= least)
+    index = np.where(used, np.cumsum(used), 0)[index.reshape(features.shape)]
+    start = np.zeros(int(used.sum()) + 5)
+    start[-4] = -6.0
+    theta = _ascend(lambda x: likelihood(x, index, chain, labels, l2), start, rounds)
+    return names[used], theta[1:-4], theta[-4], np.array([[0.0, theta[-3]], [theta[-2], theta[-1]]])
 
 
 @dataclass
@@ -182,15 +252,28 @@ class ToxicityModel:
 
     @staticmethod
     def fit(
-        labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 1800, precision: float = 0.5, support: float = 0.004
+        docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = 1800, precision: float = 0.5, support: float = 0.004
     ) -> ToxicityModel:
-        """Fit on about ``max_rows`` rows with a label, a third of them toxic where so many exist."""
-        rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(label) == 1).alias("toxic"), F.col(key).alias("key"))
-        sizes = {r.toxic: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        """Fit on ``max_rows`` rows of ``docs`` with a label in ``labels``, a third of them toxic where so many exist.
+
+        The rows are chosen by label and id, before any text is read.
+        """
+        known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.max(label) == 1).alias("toxic"))
+        known = stage(known.join(docs.select(F.col(key).alias("key")), "key", "left_semi"), "labelled")
+        sizes = {r.toxic: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         wanted = {True: max_rows // 3, False: max_rows - max_rows // 3}
         share = {k: min(1.0, wanted[k] / sizes[k]) for k in sizes}
-        place = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
-        sample = rows.where(place < F.when(F.col("toxic"), share.get(True, 0.0)).otherwise(share.get(False, 0.0))).select("text", "toxic").limit(2 * max_rows).toArrow()
+        ordered = known.orderBy(F.xxhash64("key", F.lit("sample")), "key")
+        chosen = ordered.where("toxic").limit(wanted[True]).union(ordered.where("not toxic").limit(wanted[False]))
+        sample = (
+            docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+            .join(F.broadcast(chosen), "key")  # at most max_rows
+            .groupBy("key", "toxic")
+            .agg(F.min("text").alias("text"))
+            .orderBy("key")
+            .toArrow()
+        )
+        discard(known)
         prior = sizes.get(True, 0) / max(1, sum(sizes.values()))
         empty = ToxicityModel(np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.float32), -12.0, np.ones((2, 2)), np.array([0, 0, np.log((prior + 1e-3) / (1 - prior + 1e-3))]))
         if len(sizes) < 2:
