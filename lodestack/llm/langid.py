@@ -3,10 +3,18 @@
 Every language gets a codeword of +1/-1 bits. For each bit a binary classifier over hashed
 byte n-grams tells the languages with +1 from those with -1; its weights are log ratios of
 smoothed gram frequencies, taken from one distributed count over all labelled rows. A text's
-bit margins are decoded to the codeword of least weighted logistic loss.
-
-Null or letterless text is ``und`` with score 0. Rows with a null language teach nothing. A
-table without labelled rows gives a model that answers ``und`` throughout.
+bit margins are decoded to the codeword of least weighted logistic loss. Margins are sums over at
+most ``EVIDENCE`` grams' worth of text: longer texts count with their mean margin, so that a text of two
+languages has small margins however long it is, and doubt shows.
+
+``distance`` tells how far a text lies from its codeword. A bit's mean margin is compared with the one that
+labelled texts of the codeword's side have on average: 0 if it is as large, 1/2 if the text says nothing of
+the bit (as half-and-half mixtures do of bits that part their languages), 1 if it is as large on the other
+side; bits count by weight. A text is ``ambiguous`` where the two best codewords are about as likely.
+
+Null or letterless text is ``und`` with score 0, distance 0 and no doubt. Rows with a null language teach
+nothing. A table without labelled rows gives a model that answers ``und`` throughout. Of equally likely
+languages the first by code point is taken; repeated rows teach, and are answered, each by itself.
 """
 
 from __future__ import annotations
@@ -27,7 +35,11 @@ UNDETERMINED = "und"
 _SLOTS = (256, 4096, 16384)
 _FEATURES = sum(_SLOTS)
 _SLICE = 1 << 18
-_SHAPE = "lang_pred string, score double, ambiguous boolean"
+#: Texts decoded at once.
+_ROWS = 1 << 12
+_SHAPE = "lang_pred string, score double, ambiguous boolean, distance double"
+#: Bytes of text whose margins count in full.
+EVIDENCE = 60
 
 
 def _grams(text: K.Text) -> list[np.ndarray]:
@@ -101,6 +113,7 @@ class LanguageModel:
     code: np.ndarray
     weights: np.ndarray
     bit_weights: np.ndarray
+    usual: np.ndarray  # mean margins a byte of labelled texts: one row for bits -1, one for bits +1
     margin: float
 
     @staticmethod
@@ -128,20 +141,22 @@ class LanguageModel:
         langs = sorted(table)
         code = codewords(len(langs))
         if not langs:
-            return LanguageModel([], code, np.zeros((_FEATURES + 1, 1), np.float32), np.ones(1), margin)
+            return LanguageModel([], code, np.zeros((_FEATURES + 1, 1), np.float32), np.ones(1), np.ones((2, 1)), margin)
+        seen = sum(table.values()) > 0  # grams that no labelled text has tell nothing
         share = np.stack([(table[x] + 0.5) / (table[x].sum() + 0.5 * _FEATURES) for x in langs])
-        weights, sharp = [], []
+        weights, sharp, usual = [], [], []
         for bit in code.T:
             yes = share[bit > 0].mean(0) if (bit > 0).any() else share.mean(0)
             no = share[bit < 0].mean(0) if (bit < 0).any() else share.mean(0)
-            ratio = np.log(yes) - np.log(no)
+            ratio = (np.log(yes) - np.log(no)) * seen
             weights.append(ratio)
+            usual.append([len(_SLOTS) * max(1e-9, -(no * ratio).sum()), len(_SLOTS) * max(1e-9, (yes * ratio).sum())])
             sharp.append(np.sqrt(((yes - no) * ratio).sum()))
         sharp = np.array(sharp) if np.sum(sharp) > 0 else np.ones(len(weights))
-        return LanguageModel(langs, code, np.stack([np.append(w, 0) for w in weights], 1).astype(np.float32), sharp / sharp.mean(), margin)
+        return LanguageModel(langs, code, np.stack([np.append(w, 0) for w in weights], 1).astype(np.float32), sharp / sharp.mean(), np.array(usual).T, margin)
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best language and probability margins (best, second) of each row of bit margins."""
+        """For each row of bit margins the best language, and the probabilities of the best and the second."""
         loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]) @ self.bit_weights
         like = np.exp(-(loss - loss.min(1, keepdims=True)))
         like /= like.sum(1, keepdims=True)
@@ -150,30 +165,44 @@ class LanguageModel:
         second = top[:, -2] if top.shape[1] > 1 else np.zeros(len(top))
         return best, np.stack([top[:, -1], second], 1)
 
+    def distance(self, means: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Of mean margins a byte from the codewords of the languages ``best``."""
+        word = self.code[best]
+        part = means * word / np.where(word > 0, self.usual[1], self.usual[0])
+        return np.clip(1 - part, 0, 2) @ self.bit_weights / (2 * self.bit_weights.sum())
+
     def _predict(self, column: pa.Array) -> pa.Array:
-        names, scores, doubts = [], [], []
+        names, scores, doubts, distances = [], [], [], []
         for text in K.slices(column, _SLICE):
             totals = np.zeros((len(text), self.weights.shape[1]))
-            full = np.flatnonzero(np.diff(text.offsets))
+            size = np.diff(text.offsets)
+            full = np.flatnonzero(size)
             if len(full):
                 one, two, three = _grams(text)
                 sums = self.weights[one]
                 sums += self.weights[two]
                 sums += self.weights[three]
-                totals[full] = np.add.reduceat(sums, text.offsets[full], axis=0)
+                totals[full] = np.add.reduceat(sums, text.offsets[full], axis=0, dtype=np.float64)
+            means = totals / np.maximum(size, 1)[:, None]
+            totals = means * np.minimum(size, EVIDENCE)[:, None]
             named = _has_letter(text) & bool(self.langs)
-            best, like = self.decode(np.clip(totals, -30, 30)) if self.langs else (np.zeros(len(text), int), np.zeros((len(text), 2)))
+            best, like, apart = np.zeros(len(text), int), np.zeros((len(text), 2)), np.zeros(len(text))
+            for low in range(0, len(text) if self.langs else 0, _ROWS):  # bounds rows times languages times bits
+                part = slice(low, low + _ROWS)
+                best[part], like[part] = self.decode(totals[part])
+                apart[part] = self.distance(means[part], best[part])
             names += [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best, named, strict=True)]
             scores.append(np.where(named, like[:, 0], 0.0))
             doubts.append(named & (like[:, 0] - like[:, 1] < self.margin))
+            distances.append(np.where(named, apart, 0.0))
         flat = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
         return pa.StructArray.from_arrays(
-            [pa.array(names, pa.string()), flat(scores, pa.float64()), flat(doubts, pa.bool_())],
-            names=["lang_pred", "score", "ambiguous"],
+            [pa.array(names, pa.string()), flat(scores, pa.float64()), flat(doubts, pa.bool_()), flat(distances, pa.float64())],
+            names=["lang_pred", "score", "ambiguous", "distance"],
         )
 
     def predict(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with ``lang_pred``, ``score`` and ``ambiguous``; columns of these names are replaced."""
+        """``docs`` with ``lang_pred``, ``score``, ``ambiguous`` and ``distance``; columns of these names are replaced."""
         model = docs.sparkSession.sparkContext.broadcast(self)
 
         @F.arrow_udf(_SHAPE)
@@ -181,6 +210,6 @@ class LanguageModel:
             return model.value._predict(column)
 
         found = fresh_name(docs, "found")
-        kept = without(docs, "lang_pred", "score", "ambiguous")
+        kept = without(docs, "lang_pred", "score", "ambiguous", "distance")
         given = docs.withColumn(found, predicted(F.col(text).cast("string")))
         return given.select(*[F.col(f"`{c}`") for c in kept.columns], f"{found}.*")
