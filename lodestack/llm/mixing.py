@@ -10,11 +10,12 @@ fewer than rows.
 Rates become whole copies cell by cell, a cell being one source and size, from large sizes to
 small ones: each cell takes the copies that bring the running total nearest to the running target,
 so a source misses its target only by what its small documents, at 0 to 3 copies, can't make up
-(a few per cent for a source of ten documents). Within a cell, hash order of the ids says which
-documents get the extra copy, so reruns agree.
+(a few per cent for a source of ten documents). Within a cell, hash order of the ids and texts says which
+documents get the extra copy, so reruns agree. A source's cells, one for each size that occurs in it, are
+rounded together.
 
 Null text has size 0; a null source is a source of its own, ordered last. An empty table gives an
-empty mix. Repeated rows are documents of their own.
+empty mix. Repeated rows, repeated ids and null ids are documents of their own, each with its own copies.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import fresh_name, n_words
 
 MOST = 3
 TOLERANCE = 1e-9
-ROUNDS = 60
+ROUNDS = 200
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = MOST) -> DataFrame:
@@ -65,7 +66,10 @@ def _rate(most: float) -> Column:
 
 
 def solve_rates(cells: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
-    """``cells`` (``source, size, n``) with the ``rate`` at which each source meets its target."""
+    """``cells`` (``source, size, n``) with the ``rate`` at which each source meets its target.
+
+    Raises RuntimeError where ``ROUNDS`` steps do not get there; each step at least halves a closed bracket.
+    """
     sums = cells.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("size")).alias("total"))
     start = sums.join(goals, sums.source.eqNullSafe(goals.source)).select(
         sums.source,
@@ -93,7 +97,8 @@ def solve_rates(cells: DataFrame, goals: DataFrame, most: float = MOST) -> DataF
         newton = F.coalesce(newton, F.when(gap < 0, F.col("lam") + 4).otherwise(F.col("lam") - 4))
         middle = (F.col("low") + F.col("high")) / 2
         inside = (newton > F.col("low")) & (newton < F.col("high"))
-        done = F.col("saturated") | (F.abs(gap) <= TOLERANCE * F.greatest("target", F.lit(1.0)))
+        narrow = F.col("high") - F.col("low") <= 1e-13 * F.greatest(F.abs("lam"), F.lit(1.0))
+        done = F.col("saturated") | (F.abs(gap) <= TOLERANCE * F.greatest("target", F.lit(1.0))) | narrow
         step = F.when(done, F.col("lam")).when(inside, newton).otherwise(middle)
         after = stage(sums.select("source", "mean", "target", "saturated", step.alias("lam"), "low", "high", done.alias("done")), "multipliers")
         discard(state)
@@ -101,6 +106,8 @@ def solve_rates(cells: DataFrame, goals: DataFrame, most: float = MOST) -> DataF
         state = after.drop("done")
         if not open_:
             break
+    else:
+        raise RuntimeError(f"rates not found in {ROUNDS} steps")
     rated = cells.alias("c").join(state.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select("s.*", "size", "n")
     return rated.withColumn("x", F.col("size") / F.col("mean")).select("source", "size", "n", _rate(most).alias("rate"))
 
@@ -120,20 +127,8 @@ def _round_cells(most: int):
     return run
 
 
-def mix(
-    docs: DataFrame,
-    source: str = "source",
-    text: str = "text",
-    doc_id: str = "doc_id",
-    weights: tuple[float, ...] = (1, 2, 3),
-    share: float = 1.0,
-    most: int = MOST,
-) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``."""
-    rows = docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), n_words(F.col(f"`{text}`").cast("string")).alias("size")
-    )
-    rows = stage(rows, "sizes")
+def _planned(rows: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """``rows`` (``row, doc_id, source, size, mark``, staged) with ``source_size, target, copies``."""
     cells = stage(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     goals = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
     goals = stage(goals, "targets")
@@ -144,27 +139,66 @@ def mix(
         plan.source, "size", "n", "copies", "source_size", "target", F.ceil(F.sqrt("n") / 4).alias("buckets")
     )
     plan = stage(plan, "plan")
-    order = F.xxhash64("doc_id")
+    order = F.xxhash64("doc_id", "mark")
     placed = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.size") == F.col("p.size")))
-    placed = stage(placed.select("doc_id", "p.*", F.pmod(order, F.col("buckets")).alias("bucket")), "placed")
+    placed = stage(placed.select("row", "doc_id", "mark", "p.*", F.pmod(order, F.col("buckets")).alias("bucket")), "placed")
     filled = placed.groupBy("source", "size", "n", "copies", "bucket").agg(F.count("*").alias("m"))
     up_to = Window.partitionBy("source", "size").orderBy("bucket")
     share_of = lambda c: F.floor(F.col("copies") * c / F.col("n"))
     filled = filled.withColumn("c", F.sum("m").over(up_to)).select(
         F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("b"), "m", (share_of(F.col("c")) - share_of(F.col("c") - F.col("m"))).alias("quota")
     )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(order, "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(order, "doc_id", "row"))
     ranked = placed.withColumn("rank", rank)
     same = ranked.source.eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b"))
     copies = F.floor(F.col("quota") / F.col("m")) + (F.col("rank") <= F.col("quota") % F.col("m")).cast("long")
-    return ranked.join(filled, same).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    discard(cells)
+    discard(goals)
+    discard(plan)
+    return ranked.join(filled, same).select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+
+
+def _rows(docs: DataFrame, row: Column, doc_id: str, source: str, text: str) -> DataFrame:
+    body = F.col(f"`{text}`").cast("string")
+    return docs.select(
+        row.alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), n_words(body).alias("size"),
+        F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("mark"),
     )
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as the mix takes it. Ids must be unique."""
-    copies, each = fresh_name(docs, "copies"), fresh_name(docs, "copy")
-    plan = mix(docs, doc_id=doc_id, **options).where("copies > 0").select(F.col("doc_id").alias(doc_id), F.col("copies").alias(copies))
-    out = docs.join(plan, doc_id).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+def mix(
+    docs: DataFrame,
+    source: str = "source",
+    text: str = "text",
+    doc_id: str = "doc_id",
+    weights: tuple[float, ...] = (1, 2, 3),
+    share: float = 1.0,
+    most: int = MOST,
+) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``."""
+    rows = stage(_rows(docs, F.monotonically_increasing_id(), doc_id, source, text), "sizes")
+    planned = _planned(rows, weights, share, most)
+    discard(rows)
+    return planned.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(
+    docs: DataFrame,
+    source: str = "source",
+    text: str = "text",
+    doc_id: str = "doc_id",
+    weights: tuple[float, ...] = (1, 2, 3),
+    share: float = 1.0,
+    most: int = MOST,
+) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it.
+
+    Rows are numbered and staged first, so copies go to rows, whether or not ids are unique or null.
+    """
+    row, times, each = fresh_name(docs, "row"), fresh_name(docs, "times"), fresh_name(docs, "copy")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = stage(_rows(numbered, F.col(row), doc_id, source, text), "sizes")
+    plan = _planned(rows, weights, share, most).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(times))
+    discard(rows)
+    out = numbered.join(plan, row).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
