@@ -6,11 +6,12 @@ keeps a bottom-k MinHash sketch of each item, with k one more than the most shin
 item of the class may lack. At least one sketch value of a contained item therefore occurs in the
 document (and k less what this item may lack, in general), so the search loses nothing. Documents
 with fewer shingles than an item needs are not its candidates. Candidate pairs are then verified by
-counting all of the item's shingles in the document.
+counting all of the item's shingles, as strings of words, in the document.
 
 Words are runs without space and 0x09-0x0D, with A-Z lowered. Items and documents of fewer words
 than a shingle have no shingles and match nothing; so do null texts and rows with a null id. Items
-with the same id are one item; documents with the same id are one document.
+with the same id are one item; documents with the same id are one document. Without items or without
+documents there are no rows; other columns of either table, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -21,18 +22,20 @@ from pyspark.sql import functions as F
 from ..storage import stage
 
 #: Most rows of a side that is broadcast after being counted; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shingled(table: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``key, shingles``: distinct 64-bit hashes of all runs of ``size`` words."""
+def shingled(table: DataFrame, key: str, text: str, size: int, hashed: bool = True) -> DataFrame:
+    """``key, shingles``: all distinct runs of ``size`` words, as 64-bit hashes or as they are."""
     low = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _UPPER, _LOWER)
     words = F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashed = table.select(F.col(key), F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
-    window = lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(size)])
-    runs = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(0), F.size("w") - size), window)).otherwise(F.array().cast("array<bigint>"))
-    return hashed.select(key, F.array_distinct(runs).alias("shingles"))
+    given = table.select(F.col(key), (F.transform(words, lambda w: F.xxhash64(w)) if hashed else words).alias("w"))
+    part = lambda i: [F.get(F.col("w"), i + k) for k in range(size)]
+    window = (lambda i: F.xxhash64(*part(i))) if hashed else (lambda i: F.concat_ws(" ", *part(i)))
+    none = F.array().cast("array<bigint>" if hashed else "array<string>")
+    runs = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(0), F.size("w") - size), window)).otherwise(none)
+    return given.select(key, F.array_distinct(runs).alias("shingles"))
 
 
 def _exploded(table: DataFrame, *columns: Column | str) -> DataFrame:
@@ -76,8 +79,8 @@ def contaminated(
     )
     pairs = stage(pairs, "candidates")
     ids = pairs.select("doc_id").distinct()
-    again = _exploded(shingled(given.join(_small(ids), "doc_id", "left_semi"), "doc_id", "text", size), "doc_id")
-    full = known.select("item_id", "n_item", "lacking", F.explode("shingles").alias("shingle"))
+    again = _exploded(shingled(given.join(_small(ids), "doc_id", "left_semi"), "doc_id", "text", size, hashed=False), "doc_id")
+    full = _exploded(shingled(tests, "item_id", "text", size, hashed=False), "item_id").distinct().join(known.select("item_id", "n_item", "lacking"), "item_id")
     shared = again.join(_small(full), "shingle").join(_small(pairs), ["doc_id", "item_id"], "left_semi")
     return (
         shared.groupBy("doc_id", "item_id", "n_item", "lacking")
