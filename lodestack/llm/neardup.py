@@ -4,14 +4,23 @@ Each document's set of word shingles gets a signature of ``COORDINATES`` indepen
 are one class from the start, so only distinct sets are joined. A set is posted under each pair
 (coordinate, value); values that no other set has are skipped. A coordinate's value joins ``WIDTH``
 MinHash values, so unlike sets hardly ever share one. Two sets must agree in at least
-``MATCHES`` coordinates: a set with fewer shared values can have no partner, and one with c
-shared values needs only its c - MATCHES + 1 rarest for a merge, since two sets that agree so
-often must meet there (prefix filtering in one global order, rare values first).
+``MATCHES`` coordinates: a set with fewer shared values can have no partner, and of one with c
+shared values only the c - MATCHES + 1 rarest lists are merged, since two sets that agree so
+often must meet there (prefix filtering in one global order, rare values first). The longer lists
+are skipped: what a candidate pair has in common there is looked up in its signatures.
 
-A set is first compared with a few centres of the values that it shares with most others, never all
-with all. Pairs that agree in ``MATCHES`` coordinates are confirmed on full shingle sets.
-Confirmed links are contracted to components; what then still meets in different components is
-compared in full, so no link that could join two components is lost to the centres.
+Merging never emits all pairs of a list:
+
+* Every set meets a few *centres* of each of its lists. Collisions with them are counted, and
+  the ``BEST`` centres of most collisions become candidates. Confirmed links are contracted to components.
+* Lists that still hold several components leave their sets *open*. Open sets that are similar by the limit
+  share one of their first shingles in the order of rarity among open sets, at places that their sizes
+  bound (positional prefix filtering), so they are posted under these shingles by size. There they meet
+  centres of other components once more; then all pairs of different components in a list become
+  candidates, which takes only the list's members outside its largest component.
+
+Candidates whose signatures agree in ``MATCHES`` coordinates are confirmed on full shingle sets. So no
+link that could join two components is lost to centres, prefixes or sizes; a list has no limit.
 
 A pair of similarity 0.8 agrees in each coordinate with probability 0.512, in 33 of 64 on average;
 fewer than 16 has a probability of about 6e-6 (1e-9 at similarity 0.85), which is the only loss of the
@@ -19,25 +28,29 @@ method.
 
 Null text, empty text and text without words have no shingles and are linked with nothing. Rows
 with a null id cannot be named as anyone's partner and are returned as kept, without component.
+Every repeated row is returned; of one id with several texts the least text stands for all in comparisons. A
+table without rows gives none.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import stage
+from ..storage import discard, stage
 from . import kernel as K
 
 COORDINATES = 64
 WIDTH = 3
 MATCHES = 16
 CENTRES = 3
-#: Values under which a set meets centres: its most frequent ones.
-MEETINGS = 3
+#: Centres with which a set is compared, by collisions.
+BEST = 4
+#: Ratio of the sizes that one bucket of open sets spans.
+RATIO = 1.03
 _SLICE = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(9))
@@ -111,6 +124,22 @@ def _sets(size: int):
     return run
 
 
+def _shingles(batches):
+    """rep, n, part, hashes -> a row for each hash."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = batch.column(1).to_numpy()
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _SLICE, prepend=-1))
+        for low, high in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
+            part = batch.slice(low, high - low)
+            times = pa.array(np.repeat(np.arange(high - low), sizes[low:high]))
+            flat = np.frombuffer(b"".join(v.as_buffer() for v in part.column(3)), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(k).take(times) for k in range(3)), pa.array(flat)], names=["rep", "n", "part", "shingle"]
+            )
+
+
 def _confirm(numerator: int, denominator: int):
     def run(batches):
         for batch in batches:
@@ -150,6 +179,104 @@ class _Verifier:
         )
 
 
+def _to_centres(placed: DataFrame, keys: list[str], fits: Column, seed: int) -> DataFrame:
+    """Pairs ``a, b`` of every set and those centres of its lists with which it collides most.
+
+    ``placed`` has ``rep, n, part, place`` besides the lists' ``keys``; only pairs of different parts count
+    that ``fits`` allows (on these columns, and ``m, spot`` of the centre). Centres are the members in whom the
+    list's shingle comes first, for they have fewest shingles of their own, and one by hash.
+    """
+    member = ["rep", "n", "part", "place"]
+    by_place = lambda k: F.when(F.lit(k + 1 < CENTRES), F.col("place"))
+    ranked = [F.min(F.struct(by_place(k).alias("first"), F.xxhash64("rep", F.lit(seed + k)).alias("h"), *member)).alias(f"c{k}") for k in range(CENTRES)]
+    centres = (
+        placed.groupBy(*keys)
+        .agg(F.min("part").alias("p"), F.max("part").alias("q"), *ranked)
+        .where("p < q")
+        .select(*keys, F.array_distinct(F.array(*[F.struct(*[f"c{k}.{x}" for x in member]) for k in range(CENTRES)])).alias("centres"))
+    )
+    collisions = (
+        placed.join(centres, keys)
+        .select(*member, F.explode("centres").alias("c"))
+        .select(*member, F.col("c.rep").alias("other"), F.col("c.n").alias("m"), F.col("c.part").alias("apart"), F.col("c.place").alias("spot"))
+        .where((F.col("part") != F.col("apart")) & fits)
+        .groupBy("rep", "other")
+        .agg(F.count("*").alias("collisions"))
+    )
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("collisions"), "other"))
+    best = collisions.withColumn("rank", rank).where(f"rank <= {BEST}")
+    return best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
+def _with_parts(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """``sets`` with the part of each ``rep``; a set without links is a part of its own."""
+    named = parts.select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    return sets.join(named, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` with the sets that had no link before put into the part of one that they are linked with."""
+    ends = links.union(links.select("b", "a")).toDF("node", "other").join(parts.select("node"), "node", "left_anti")
+    named = ends.join(parts.select(F.col("node").alias("other"), "component"), "other")
+    return parts.union(named.groupBy("node").agg(F.min("component").alias("component")))
+
+
+def _need(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that sets of ``n`` and ``m`` share at least if they are similar by the limit."""
+    return F.ceil((n + m) * F.lit(percent / (100 + percent)) - 1e-6)
+
+
+#: What makes a list of open sets: a shingle, and the size buckets of the two sets that may meet in it.
+_LIST = ["shingle", "low", "high"]
+
+
+def _posted(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``open_`` sets (``rep, n, part``) under their first shingles in the order of (frequency, hash), staged.
+
+    Sets of n and m shingles are similar only if they share ``_need(n, m)``; then one of these is among the
+    first n - need + 1 and m - need + 1. A set is posted once for each bucket of sizes that it may be similar to.
+    """
+    shingles = stage(open_.join(sets, "rep").select("rep", "n", "part", "hashes").mapInArrow(_shingles, "rep long, n long, part long, shingle long"), "shingles")
+    lists = shingles.groupBy("shingle").agg(F.count("*").alias("df"), F.min("part").alias("p"), F.max("part").alias("q"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")) - 1
+    bucket = lambda n: F.floor(F.log(n) / F.log(F.lit(RATIO)) + 1e-9).cast("int")
+    n, share = F.col("n"), F.lit(percent / 100)
+    posted = (
+        shingles.join(lists, "shingle")
+        .withColumn("place", place)
+        .where((F.col("place") <= n - F.ceil(n * share - 1e-6)) & (F.col("p") < F.col("q")))
+        .withColumn("own", bucket(n))
+        .withColumn("their", F.explode(F.sequence(bucket(F.greatest(n * share, F.lit(1.0))), bucket(n / share))))
+        .where(F.col("place") <= n - _need(n, F.pow(F.lit(RATIO), F.col("their")) - 0.5, percent))
+        .select("shingle", F.least("own", "their").alias("low"), F.greatest("own", "their").alias("high"), "own", "their", "rep", "n", "place")
+    )
+    out = stage(posted, "posted")
+    discard(shingles)
+    return out
+
+
+def _allowed(percent: int) -> Column:
+    """Whether sets at ``place`` of ``n`` and at ``spot`` of ``m`` may be similar by the limit."""
+    need = _need(F.col("n"), F.col("m"), percent)
+    return (F.col("place") <= F.col("n") - need) & (F.col("spot") <= F.col("m") - need)
+
+
+def _between_parts(posted: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different parts that share a list, with all that are similar by the limit.
+
+    Of a list, the members outside its largest part meet all others; two of one part never meet.
+    """
+    main = posted.groupBy(*_LIST, "part").agg(F.count("*").alias("g")).groupBy(*_LIST).agg(F.max(F.struct("g", "part")).alias("main"), F.count("*").alias("parts"))
+    main = main.where("parts > 1").select(*_LIST, F.col("main.part").alias("main"))
+    minor = posted.join(main, _LIST).where("part != main").select("shingle", "own", "their", "rep", "n", "part", "place")
+    other = posted.select(
+        "shingle", F.col("own").alias("their"), F.col("their").alias("own"), F.col("rep").alias("other"), F.col("n").alias("m"),
+        F.col("part").alias("apart"), F.col("place").alias("spot"),
+    )
+    pairs = minor.join(other, ["shingle", "own", "their"]).where((F.col("part") != F.col("apart")) & _allowed(percent))
+    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -176,59 +303,44 @@ def near_duplicates(
         .where(f"c >= {MATCHES}")
         .withColumn("rank", F.row_number().over(mine.orderBy("df", "key")))
         .where(f"rank <= c - {MATCHES} + 1")
-        .select("key", "rep", "n", "df"),
+        .select("key", "rep", "n"),
         "prefix",
     )
-    ranked = [F.struct(F.xxhash64(F.col("rep"), F.lit(k)).alias("h"), "rep", "n") for k in range(1, CENTRES)]
-    centres = (
-        prefix.groupBy("key")
-        .agg(F.count("*").alias("g"), F.min(F.struct(F.lit(0).cast("long").alias("h"), "rep", "n")).alias("c0"), *[F.min(r).alias(f"c{k}") for k, r in enumerate(ranked, 1)])
-        .where("g > 1")
-        .select("key", F.array_distinct(F.array(*[F.struct(f"c{k}.rep", f"c{k}.n") for k in range(CENTRES)])).alias("centres"))
-    )
-    fits = f"least(n, m) * 100 >= greatest(n, m) * {percent}"
-    met = stage(prefix.join(centres, "key"), "met")
-    few = met.withColumn("rank", F.row_number().over(mine.orderBy(F.desc("df"), "key"))).where(f"rank <= {MEETINGS}")
-    tried = stage(
-        few.select("rep", "n", F.explode("centres").alias("centre"))
-        .select("rep", "n", F.col("centre.rep").alias("other"), F.col("centre.n").alias("m"))
-        .where(f"rep != other and {fits}")
-        .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-        .distinct(),
-        "pairs",
-    )
-    wanted = met.select("rep").distinct()
+    wanted = prefix.select("rep").distinct()
     sets = stage(
-        given.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "text").mapInArrow(_sets(shingle), "rep long, hashes binary"),
+        given.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")).select("rep", "text").mapInArrow(_sets(shingle), "rep long, hashes binary"),
         "sets",
     )
     confirm = _Verifier(classes, sets, percent)
+    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & F.col("place").isNull()
+    first = prefix.select("key", "rep", "n", F.col("rep").alias("part"), F.lit(None).cast("int").alias("place"))
+    tried = stage(_to_centres(first, ["key"], fits, 0), "pairs")
     links = stage(confirm(tried), "links")
-    parts = stage(connected_components(links, "a", "b"), "parts")
-    # What meets under one value and lies in different components after the centres is compared in full.
-    placed = met.select("key", "rep", "n").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("part")
-    )
-    split = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    open_ = stage(placed.join(split, "key"), "open")
-    rest = (
-        open_.join(open_.select("key", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("part").alias("part2")), "key")
-        .where(f"rep < other and part != part2 and {fits}")
-        .select(F.col("rep").alias("a"), F.col("other").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    more = stage(confirm(rest), "links")
-    parts = connected_components(links.union(more), "a", "b")
+    parts = connected_components(links, "a", "b")
+    placed = _with_parts(prefix, parts)
+    several = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    posted = _posted(placed.join(several, "key").select("rep", "n", "part").distinct(), sets, percent)
+    now = stage(_with_parts(posted, parts), "posted")
+    again = stage(_to_centres(now, _LIST, _allowed(percent), CENTRES), "pairs")
+    met = stage(confirm(again), "links")
+    rest = stage(_between_parts(_with_parts(posted, _joined(parts, met)), percent), "pairs")
+    last = stage(confirm(rest), "links")
+    parts = connected_components(links.union(met).union(last), "a", "b")
+    for table in (prefix, sets, tried, links, posted, now, again, met, rest, last):
+        discard(table)
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key_a", "key_b", "n", F.coalesce("component", "rep").alias("component_id")
     )
     bare = profiles.select("doc_id", "n", "key_a", "key_b")
     linked = bare.where("n > 0 and doc_id is not null").join(of_class, ["key_a", "key_b", "n"]).select("doc_id", "n", "component_id")
     alone = bare.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).select(
+    found = linked.union(alone).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
+    out = stage(found, "near-duplicates")
+    for table in (profiles, classes, parts):
+        discard(table)
+    return out
