@@ -6,6 +6,9 @@ With one more shard a key either stays or moves into the new shard, and about on
 Slots number the rows of each shard without gaps, in key order. They are found without gathering a
 shard in one task: rows are dealt by key range, each range numbers its own rows of each shard, and
 the ranges before it add their counts.
+
+A null text has no bytes; a null key goes to a shard of its own choice like any other. A table without rows
+gives none.
 """
 
 from __future__ import annotations

@@ -6,17 +6,19 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestack.llm import decontaminate, langid, queries, rans, secrets, sharding, toxicity
+from lodestack.llm import decontaminate, langid, mixing, neardup, queries, rans, secrets, sharding, toxicity
 from lodestack.llm.mixing import mix, mixed
 from lodestack.llm.neardup import near_duplicates
 from lodestack.llm.quality import QualityRules
@@ -115,16 +117,60 @@ def test_marginals_equal_enumeration():
         assert np.allclose(mass / total, got[a:b])
 
 
+def test_likelihood_and_gradient_equal_enumeration():
+    """Value by listing all labellings, gradient by differences of the value; pairs by listing too."""
+    rng = np.random.default_rng(4)
+    chain, labels = np.array([0, 4, 5, 9]), np.array([0, 1, 1, 0, 1, 0, 0, 1, 0.0])
+    index, theta = rng.integers(0, 4, (9, 2)), rng.normal(size=8)
+    theta[0] = 0
+    unary, log_trans = theta[:4][index].sum(1) + theta[4], np.array([[0, theta[5]], [theta[6], theta[7]]])
+
+    def listed():
+        value, pairs = 0.0, np.zeros((2, 2))
+        for a, b in itertools.pairwise(chain):
+            weigh = lambda y: math.exp(sum(u * s for u, s in zip(unary[a:b], y, strict=True)) + sum(log_trans[int(i), int(j)] for i, j in itertools.pairwise(y)))
+            all_ = {y: weigh(y) for y in itertools.product((0, 1), repeat=b - a)}
+            value += math.log(weigh(labels[a:b]) / sum(all_.values()))
+            for y, p in all_.items():
+                for i, j in itertools.pairwise(y):
+                    pairs[i, j] += p / sum(all_.values())
+        return value, pairs
+
+    penalty = lambda t: 0.05 * (t[:4] @ t[:4] + t[5:] @ t[5:])
+    value, slope = toxicity.likelihood(theta, index, chain, labels, 0.1)
+    assert value == pytest.approx(listed()[0] / labels.sum() - penalty(theta))
+    for k in range(1, 8):
+        step = np.zeros(8)
+        step[k] = 1e-6
+        rise = toxicity.likelihood(theta + step, index, chain, labels, 0.1)[0] - toxicity.likelihood(theta - step, index, chain, labels, 0.1)[0]
+        assert slope[k] == pytest.approx(rise / 2e-6, abs=1e-6)
+    trans = np.exp(log_trans)
+    inner = np.array([1, 2, 3, 6, 7, 8])
+    assert np.allclose(toxicity.pair_sums(toxicity._passes(unary, chain, trans), inner, trans), listed()[1])
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Area under the curve and false alarms where no label was seen."""
+    sf_dir = "/root/testdata/sf0.1"
+    found = queries.op2_toxicity(spark, sf_dir).where("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    rows = [(r.score, r.toxic, r.predicted) for r in found.collect() if r.toxic is not None]
+    bad, good = [s for s, t, _ in rows if t == 1], [s for s, t, _ in rows if t == 0]
+    area = np.mean(np.greater.outer(bad, good) + 0.5 * np.equal.outer(bad, good))
+    assert area > 0.95 and sum(p for _, t, p in rows if t == 1) > 0.75 * len(bad) and sum(p for _, t, p in rows if t == 0) <= 0.02 * len(good)
+
+
 def test_toxicity_learns_words(spark, odd):
     rows = [(i, ("you idiot moron go away " if i % 4 == 0 else "you kind friend come here ") + f"w{i} x{i % 7}\nnext line {i}", int(i % 4 == 0)) for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.ToxicityModel.fit(table.where("doc_id < 300"))
+    seen = table.where("doc_id < 300")
+    unlabelled = spark.createDataFrame([(1, None), (None, 1), (10**7, 1), (0, 1)], "doc_id long, toxic int")
+    model = toxicity.ToxicityModel.fit(seen.select("doc_id", "text"), seen.select("doc_id", "toxic").union(unlabelled))
     got = model.score(table.where("doc_id >= 300")).collect()
     assert all((r.score >= 0.7) == (r.toxic == 1) for r in got)
     spans = [r.text[s.start : s.end] for r in got for s in r.spans]
     assert spans and all("idiot" in s or "moron" in s for s in spans)
     assert model.score(odd).count() == odd.count()
-    prior = toxicity.ToxicityModel.fit(empty(spark))
+    prior = toxicity.ToxicityModel.fit(empty(spark), empty(spark))
     assert prior.score(empty(spark)).count() == 0
     assert all(0 <= r.score <= 1 for r in prior.score(odd).collect())
 
@@ -147,6 +193,47 @@ def test_mix_meets_targets(spark, docs, texts):
     assert sorted(tuple(r) for r in mix(docs).collect()) == sorted(tuple(r) for r in got)
 
 
+def brute_targets(sizes):
+    """Weights 1, 2, 3 by code point, null last; what passes three times a size is shared again."""
+    order = sorted(sizes, key=lambda k: (k is None, k or ""))
+    weight = {k: 1 + i % 3 for i, k in enumerate(order)}
+    full, total = set(), sum(sizes.values())
+    while True:
+        level = (total - 3 * sum(sizes[k] for k in full)) / max(1e-9, sum(w for k, w in weight.items() if k not in full))
+        over = {k for k in sizes if k not in full and weight[k] * level > 3 * sizes[k]}
+        if not over:
+            return {k: 3.0 * sizes[k] if k in full else weight[k] * level for k in sizes}
+        full |= over
+
+
+def test_targets_and_rates(spark):
+    """Targets by plain sharing; rates are the tilt that meets them, found by bisection."""
+    rng = np.random.default_rng(6)
+    rows = [(s, int(z)) for s, n, top in (("b", 40, 900), ("a", 300, 90), (None, 60, 300), ("é", 2, 5), ("z", 30, 400)) for z in rng.integers(0, top, n)]
+    cells = spark.createDataFrame(rows, "source string, size long").groupBy("source", "size").agg(F.count("*").alias("n"))
+    sizes = defaultdict(int)
+    for s, z in rows:
+        sizes[s] += z
+    goals = mixing.targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
+    want = brute_targets(sizes)
+    assert {r.source: r.target for r in goals.collect()} == pytest.approx(want)
+    rates = defaultdict(dict)
+    for r in mixing.solve_rates(cells, goals).collect():
+        rates[r.source][r.size] = r.rate
+    for s in sizes:
+        own = [z for k, z in rows if k == s]
+        mean = sum(own) / len(own)
+        rate = lambda lam, z: min(3.0, math.exp(min(50, lam * z / mean)))
+        low, high = -500.0, 500.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(z * rate(mid, z) for z in own) < want[s] else (low, mid)
+        if want[s] < 3 * sizes[s]:
+            assert rates[s] == pytest.approx({z: rate(high, z) for z in own}, rel=1e-5, abs=1e-9)
+        else:
+            assert set(rates[s].values()) == {3.0}
+
+
 def test_mix_odd(spark, odd):
     got = mix(odd).collect()
     assert len(got) == odd.count() and all(r.taken == 0 for r in got if r.doc_id in (2, 3, 4))
@@ -154,6 +241,16 @@ def test_mix_odd(spark, odd):
     assert mixed(docs=odd.where("doc_id in (1, 6, 7, 9)")).columns == odd.columns
 
 
+def test_mixed_copies_rows_not_ids(spark, docs):
+    """Every id twice, once with other texts, and null ids: the rows that come out are the plan's copies."""
+    twice = docs.union(docs.withColumn("text", F.concat(F.lit("again "), "text"))).union(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")))
+    key = lambda r: (r.doc_id, r.source)
+    want = Counter()
+    for r in mix(twice).collect():
+        want[key(r)] += r.copies
+    assert Counter(map(key, mixed(twice).collect())) == +want and sum(want.values()) > 100
+
+
 # ---- 4
 
 
@@ -187,6 +284,18 @@ def test_repeats_over_compacted_runs(spark):
         part = index.absorb(table.where(f"doc_id in ({i}, {i + 1})"), table.where(f"doc_id < {i}"))
         found |= {r.doc_id for r in part.collect()}
     assert found == set(range(1, 12)) and len(index.runs) < 6
+    index.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
+def test_old_runs_are_merged_without_an_exchange(spark):
+    index = FingerprintIndex(spark, buckets=5)
+    table = spark.createDataFrame([(i, f"s{i} " + LONG * 2) for i in range(8)], "doc_id long, text string")
+    index.absorb(table.where("doc_id < 4"))
+    index.absorb(table.where("doc_id >= 4"), table.where("doc_id < 4"))
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in index.touched(spark.table(index.runs[-1]))]
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Exchange" not in p for p in plans)
+    index.close()
 
 
 def test_repeats_odd(spark, odd):
@@ -207,7 +316,7 @@ def entropy(window):
 def test_secrets(spark, docs):
     extra = [
         (10**6, 'x token=token:abcdefgh AKIAABCDEFGHIJKLMNO "API_key" : "zzzzzzzzz é AKIAX\n secret=Ab3 ghp_aB3dE5gH7jK9mN1pQ3sT5vW7yZ9 ' + "0123456789abcdef" * 2 + "k 9f8a3b1c5d7e2f4a6b8c 123e4567-e89b-12d3-a456-426614174000"),
-        (10**6 + 1, None), (10**6 + 2, ""), (10**6 + 3, "a" * 20000 + "1"),
+        (10**6 + 1, None), (10**6 + 2, ""), (10**6 + 3, "a" * 20000 + "1"), (10**6 + 4, "x k3j9x0q2m8z7w1v5b4n6 y K3J9X0Q2M8Z7W1V5B4N6"),
     ]
     table = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -221,7 +330,7 @@ def test_secrets(spark, docs):
         for m in re.finditer(secrets.CANDIDATE, text):
             if re.search(secrets.ALLOWED, m[0]) or any(a < m.end() and m.start() < b for a, _, b in base):
                 continue
-            limit = secrets.LIMITS["hexadecimal" if re.fullmatch("[0-9a-fA-F]+", m[0]) else "mixed"]
+            limit = next(bits for _, pattern, bits in secrets.CLASSES if re.search(pattern, m[0]))
             high = [i for i in range(len(m[0]) - 19) if entropy(m[0][i : i + 20]) >= limit - 1e-9]
             if high:
                 want.append((m.start() + high[0], 3, m.start() + high[-1] + 20))
@@ -230,8 +339,28 @@ def test_secrets(spark, docs):
     assert kinds == {0, 1, 2, 3}
 
 
+def test_secrets_in_long_runs_and_many_candidates(spark):
+    """A run of a million characters, and a hundred thousand runs and base spans, in one text each."""
+    rng = np.random.default_rng(5)
+    key = lambda n: "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789+/"), n))
+    words = [key(24) if i % 2 else f"token={i:08d}" for i in range(200_000)]
+    rows = [(1, "z" * 500_000 + key(500_000)), (2, " ".join(words))]
+    begun = time.monotonic()
+    got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.monotonic() - begun < 60
+    (one,) = got[1].secret_spans
+    assert 500_000 - 19 <= one.start <= 500_000 and one.end == 1_000_000
+    spans = [(s.start, s.rank) for s in got[2].secret_spans]
+    places = np.cumsum([0] + [len(w) + 1 for w in words[:-1]]).tolist()
+    assert [p for p, rank in spans if rank == 0] == places[::2]
+    want = {p: w for p, w in zip(places[1::2], words[1::2], strict=True) if any(c.isdigit() for c in w)}
+    high = {p for p, w in want.items() if entropy(w[:20]) >= 3.8 - 1e-9}
+    assert high <= {p for p, rank in spans if rank == 3} and len(high) > 50_000
+
+
 def test_secrets_odd(spark, odd):
-    assert secrets.scan_secrets(odd).count() == odd.count()
+    got = secrets.scan_secrets(odd.withColumn("secret_spans", F.lit(1)).withColumn("body", F.lit("token=abcdefgh"))).collect()
+    assert Counter((r.doc_id, r.body, len(r.secret_spans)) for r in got) == Counter((r.doc_id, "token=abcdefgh", 0) for r in odd.collect())
     assert secrets.scan_secrets(empty(spark)).count() == 0
 
 
@@ -283,6 +412,55 @@ def test_quality_keeps_clean_and_rejects_symbols(spark, docs):
     assert got == [False]
 
 
+def histograms(text):
+    """Character classes by code point, and lower-cased words, of one text."""
+    def kind(c):
+        n = ord(c)
+        if n < 128:
+            names = (("lower", c.islower()), ("upper", c.isupper()), ("digit", c.isdigit()), ("sentence", c in ".,;:'\"!?-()"), ("space", c in "\t\n\v\f\r "))
+            return next((k for k, yes in names if yes), "mark")
+        return "latin" if n < 0x100 else "two" if n < 0x800 else "three" if n < 0x10000 else "four"
+
+    low = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
+    return Counter(map(kind, text)), Counter(WORD.findall(text.translate(low)))
+
+
+def distance(p, q):
+    """Jensen-Shannon distance of two tables of counts."""
+    a, b = max(1, sum(p.values())), max(1, sum(q.values()))
+    total = 0.0
+    for k in set(p) | set(q):
+        x, y = p[k] / a, q[k] / b
+        total += sum(v * math.log2(2 * v / (x + y)) for v in (x, y) if v) / 2
+    return math.sqrt(max(total, 0))
+
+
+@pytest.mark.parametrize("parts", [1, 7, 211])
+def test_quality_distances_and_verdicts(spark, docs, parts):
+    """By plain counting; however the rows are dealt."""
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+    rows += [(90_000 + i, " ".join(f"x{i}y{k}" if k % 175 else "seldom" for k in range(1, 351)), "xx") for i in range(40)]
+    chars, words = defaultdict(Counter), defaultdict(Counter)
+    for _, text, lang in rows:
+        c, w = histograms(text or "")
+        if lang is not None:
+            chars[lang] += c
+            words[lang] += w
+    common = {w for have in words.values() for w, n in have.items() if n >= 0.005 * sum(have.values())}
+    assert words["xx"]["seldom"] == 80 and "seldom" in common
+    only = lambda have: Counter({k: have[k] for k in common}) + Counter({None: sum(n for k, n in have.items() if k not in common)})
+    reference = {k: (chars[k], only(words[k])) for k in sorted(words)}
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+    got = {r.doc_id: r for r in QualityRules.fit(table).apply(table).collect()}
+    for doc_id, text, _ in rows[::3]:
+        c, w = histograms(text or "")
+        best = min(((distance(c, rc), distance(only(w), rw)) for rc, rw in reference.values()), key=sum)
+        r = got[doc_id]
+        assert r.char_distance == pytest.approx(best[0], abs=1e-6) and r.word_distance == pytest.approx(best[1], abs=1e-6)
+        far = sum(w.values()) >= 50 and (r.char_distance > 0.3 or r.word_distance > 0.4)
+        assert r.kept == (not r.base_failed and not far)
+
+
 # ---- 8
 
 
@@ -304,6 +482,20 @@ def test_jump_hash_moves_only_into_new_shards():
     assert np.bincount(before).min() > 1800
 
 
+def test_jump_hash_against_a_plain_loop():
+    """The published loop, with integers and floats of Python."""
+    def plain(key, buckets):
+        b, j = -1, 0
+        while j < buckets:
+            b, key = j, (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (2**31 / ((key >> 33) + 1)))
+        return b
+
+    keys = np.random.default_rng(3).integers(0, 2**64, 2000, dtype=np.uint64)
+    for n in (1, 2, 24, 25, 1000):
+        assert sharding.jump_hash(keys, n).tolist() == [plain(int(k), n) for k in keys]
+
+
 def test_shards_odd(spark, odd):
     assert sharding.assign_shards(odd, 24).count() == odd.count()
     assert sharding.assign_shards(empty(spark), 24).count() == 0
@@ -340,6 +532,39 @@ def test_near_duplicates(spark, docs, texts, size):
     assert got == brute_components(texts | extra, size)
 
 
+def edited(n, seed=3):
+    """Copies of one text with 2 to 16 words replaced: about half the pairs lie below the limit."""
+    rng, base = np.random.default_rng(seed), [f"w{k}" for k in range(140)]
+    out = {}
+    for i in range(n):
+        at = set(rng.choice(140, int(rng.integers(2, 17)), replace=False).tolist())
+        out[i] = " ".join(f"new{i % 40}x{k}" if k in at else w for k, w in enumerate(base))
+    return out
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates_in_a_large_group(spark, size):
+    texts = edited(300)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shingle=size).collect()}
+    want = brute_components(texts, size)
+    assert got == want and 1 < len({c for _, c, _ in want.values()}) < 300
+
+
+def test_open_sets_lose_no_pair(spark):
+    """Prefixes and size buckets alone, with every set a part of its own, and with parts given."""
+    texts = edited(150) | {1000 + i: " ".join(f"w{k}" for k in range(i % 30, 110 + i)) for i in range(30)}
+    sets = {d: {" ".join(t.split()[i : i + 2]) for i in range(len(t.split()) - 1)} for d, t in texts.items()}
+    code = {s: i for i, s in enumerate(sorted(set().union(*sets.values())))}
+    raw = spark.createDataFrame([(d, bytearray(np.array(sorted(code[x] for x in s), np.int64).tobytes())) for d, s in sets.items()], "rep long, hashes binary")
+    for part in (lambda d: d, lambda d: d % 3):
+        open_ = spark.createDataFrame([(d, len(s), part(d)) for d, s in sets.items()], "rep long, n long, part long")
+        posted = neardup._posted(open_, raw, 80).join(open_.select("rep", "part"), "rep")
+        got = {(r.a, r.b) for r in neardup._between_parts(posted, 80).collect()}
+        like = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+        want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if part(a) != part(b) and like(a, b)}
+        assert want and want <= got and all(part(a) != part(b) for a, b in got)
+
+
 def test_near_duplicates_odd(spark, odd):
     got = near_duplicates(odd).collect()
     assert len(got) == odd.count()
@@ -358,10 +583,29 @@ def test_language_id(spark, sf_dir, odd):
     found = {r.doc_id: r for r in model.predict(odd).collect()}
     assert all(found[d].lang_pred == "und" and found[d].score == 0 for d in (2, 3, 4, 8))
     assert found[9].lang_pred == "fr"
+    unlabelled = model.predict(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {(r.doc_id, r.lang_pred, r.score) for r in unlabelled} == {(r.doc_id, r.lang_pred, r.score) for r in model.predict(odd).collect()}
     none = langid.LanguageModel.fit(empty(spark))
     assert {r.lang_pred for r in none.predict(odd).collect()} == {"und"}
 
 
+def test_decoding_against_plain_loops():
+    """Losses, probabilities and distances by their definitions."""
+    code, rng = langid.codewords(4), np.random.default_rng(8)
+    bits = rng.uniform(0.5, 2, code.shape[1])
+    usual = rng.uniform(0.1, 3, (2, code.shape[1]))
+    model = langid.LanguageModel(["a", "b", "c", "d"], code, np.zeros((1, 1)), bits, usual, 0.2)
+    margins = rng.normal(0, 2, (40, code.shape[1]))
+    best, like = model.decode(margins)
+    apart = model.distance(margins, best)
+    for i, row in enumerate(margins):
+        loss = [sum(w * math.log1p(math.exp(-m * c)) for w, m, c in zip(bits, row, word, strict=True)) for word in code]
+        p = sorted((math.exp(-x) for x in loss), reverse=True)
+        assert best[i] == int(np.argmin(loss)) and like[i] == pytest.approx([p[0] / sum(p), p[1] / sum(p)])
+        parts = [w * min(2, max(0, 1 - m * c / usual[int(c > 0), k])) / 2 for k, (w, m, c) in enumerate(zip(bits, row, code[best[i]], strict=True))]
+        assert apart[i] == pytest.approx(sum(parts) / bits.sum())
+
+
 def test_codewords_are_distinct():
     for k in (2, 3, 4, 5, 9, 30):
         code = langid.codewords(k)
@@ -383,4 +627,38 @@ def test_pipeline(spark, sf_dir, docs, texts):
     many = stages["mix_sources"](spark, docs, sf_dir)
     plan = {r.doc_id: r.copies for r in mix(docs).collect() if r.copies}
     assert {r.doc_id: r["n"] for r in many.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == plan
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    # the last stage against the tokenizer itself, on what the others left
+    last = {(r.doc_id, r.start): (r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    tokenizer, at, want = Tokenizer.from_file(TOKENIZER), 0, {}
+    left = named
+    for name in ("near_duplicates", "decontaminate", "mix_sources"):
+        left = stages[name](spark, left, sf_dir)
+    for r in sorted(left.select("doc_id", "text").collect()):
+        ids = [*tokenizer.encode(r.text, add_special_tokens=False).ids, 1]
+        want[r.doc_id, at] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert last == want
+
+
+def test_language_stage_rejects_unknown_languages_only(spark, sf_dir, docs):
+    """Long texts in languages that no row names go; clean ones and short ones stay, also where nothing can be learnt."""
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    other = ["Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί. ", "Быстрая бурая лиса перепрыгивает через ленивую собаку. "]
+    extra = [(10**6 + i, t * n, None, "s", 0) for i, (t, n) in enumerate([(other[0], 9), (other[1], 9), (other[0], 1)])]
+    kept = {r.doc_id for r in stage(spark, docs.union(spark.createDataFrame(extra, docs.schema)), sf_dir).select("doc_id").collect()}
+    lettered = {r.doc_id for r in docs.select("doc_id", "text").collect() if any(c.isalpha() for c in r.text or "")}
+    assert kept == lettered | {10**6 + 2}
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert stage(spark, unknown, sf_dir).count() == len(lettered)
+
+
+def test_stages_on_odd_rows(spark, sf_dir, odd):
+    """Nulls, repeated rows, clashing names and no rows at all."""
+    full = odd.withColumn("n_chars", F.length("text").cast("long")).withColumn("lang_pred", F.lit("own"))
+    rows = {"language_id": 7, "near_duplicates": 11, "decontaminate": 11}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        got = step(spark, full, sf_dir)
+        assert got.columns == full.columns
+        if name in rows:
+            assert got.count() == rows[name] - (2 if name == "near_duplicates" else 0), name
+        assert step(spark, full.limit(0), sf_dir).count() == 0
