@@ -41,10 +41,26 @@ def is_noise_keyword(keyword: Column) -> Column:
     return noise_reason(keyword).isNotNull()
 
 
-def is_report_keyword(keyword: Column, stop: tuple[str, ...] = ()) -> Column:
+def is_report_keyword(keyword: Column, stop: tuple[str, ...] = C.REPORT_STOP) -> Column:
     k = F.lower(F.trim(F.coalesce(keyword, F.lit(""))))
-    wanted = (F.length(k) >= 4) & ~is_noise_keyword(keyword)
-    return wanted & ~k.isin(*stop) if stop else wanted
+    return (F.length(k) >= 4) & ~is_noise_keyword(keyword) & ~k.isin(*stop)
+
+
+def has_marker(text: Column, markers: tuple[str, ...]) -> Column:
+    """Whether a text, in lower case, holds one of some marks. Null holds none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))
+
+
+def follow_up(question: Column, before: Column) -> Column:
+    """A question that refers to what was said, with the question before it in front; any other as it is."""
+    return F.when(before.isNotNull() & has_marker(question, C.REFERENCE_WORDS), F.concat_ws(" ", before, question)).otherwise(question)
+
+
+def page_verdict(text: Column, rendered: Column, least: int = 80, least_rendered: int = 700) -> Column:
+    """``blocked``, ``short`` or ``kept`` for a page's text; a page that a browser rendered must be longer."""
+    words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
+    return F.when(has_marker(text, C.BLOCKED_PAGE), "blocked").when(words < F.when(rendered, least_rendered).otherwise(least), "short").otherwise("kept")
 
 
 def is_informative_author(name: Column) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..operators import chunks as ch
 from ..operators import cooccurrence as co
 from ..operators import graph as gr
 from ..operators import textstats as ts
 from ..operators.components import connected_components
+from ..storage import stage
 from ..streaming import jobs
 from ..tables import table
 from . import roles
@@ -162,7 +164,11 @@ GRAMS = r"wl AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[\p{L}\p
 
 
 def counts(spark, sf_dir):
-    return ts.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return stage(ts.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "terms")
+
+
+TERM_STOP = ", ".join(f"'{w}'" for w in C.TERM_STOP)
+GRAMS3 = r"wl AS (SELECT doc_id AS doc, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: x NOT IN (" + TERM_STOP + ")) AS w FROM documents), g AS (SELECT doc, unnest(w) AS term FROM wl UNION ALL SELECT doc, w[i] || ' ' || w[i + 1] FROM wl, range(1, greatest(len(w), 1)) r(i) UNION ALL SELECT doc, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM wl, range(1, greatest(len(w) - 1, 1)) r(i)), c AS (SELECT doc, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY doc) AS n_terms FROM g GROUP BY doc, term), nd AS (SELECT count(*) AS nd FROM documents)"
 
 
 @query("mod01_mean_tf_idf", f"WITH {GRAMS}, st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM c GROUP BY term), v AS (SELECT term, df, ln((1.0 + nd) / (1 + df)) + 1 AS idf FROM st, nd WHERE df >= 5 AND df <= 0.85 * nd ORDER BY cf DESC, term LIMIT 3000), x AS (SELECT doc, c.term, df, (1 + ln(tf)) * idf AS w FROM c JOIN v ON v.term = c.term), m AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc) SELECT term, df, round(sum(w / norm) / any_value(nd), 6) AS score FROM x JOIN m ON m.doc = x.doc, nd GROUP BY term, df ORDER BY score DESC, term LIMIT 120")
@@ -171,10 +177,10 @@ def mod01(spark, sf_dir):
     return ts.mean_tf_idf(counts(spark, sf_dir), n)
 
 
-@query("mod02_simple_tf_idf", f"WITH {GRAMS} SELECT term, count(*) AS df, round(sum(tf / n_terms) * (ln((any_value(nd) + 1.0) / (count(*) + 1)) + 1), 6) AS score FROM c, nd GROUP BY term ORDER BY score DESC, term LIMIT 120")
+@query("mod02_simple_tf_idf", f"WITH {GRAMS3} SELECT term, count(*) AS df, round(sum(tf / n_terms) * (ln((any_value(nd) + 1.0) / (count(*) + 1)) + 1), 6) AS score FROM c, nd GROUP BY term ORDER BY score DESC, term LIMIT 120")
 def mod02(spark, sf_dir):
     n = table(spark, sf_dir, "documents").count()
-    return ts.simple_tf_idf(counts(spark, sf_dir), n)
+    return ts.simple_tf_idf(ts.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text", 1, 3, C.TERM_STOP), n)
 
 
 @query("mod03_lda_topics")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scalars as sc
 from ..operators import dedupe as dd
+from ..operators import dialogue as dl
 from ..operators import filters as fl
 from ..operators import search as se
 from ..tables import table
@@ -80,7 +81,7 @@ def flt04(spark, sf_dir):
     return words(spark, sf_dir).select("w", fl.is_noise_keyword(F.col("w")).alias("noise"))
 
 
-@query("flt05_06_report_words", "SELECT p_name AS w, length(trim(p_name)) >= 4 AS report, length(trim(p_name)) >= 5 AND NOT regexp_matches(p_name, '[0-9]') AS author FROM part")
+@query("flt05_06_report_words", "SELECT p_name AS w, length(trim(p_name)) >= 4 AND lower(trim(p_name)) NOT IN ('study', 'paper', 'review') AS report, length(trim(p_name)) >= 5 AND NOT regexp_matches(p_name, '[0-9]') AS author FROM part")
 def flt05(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("w"), fl.is_report_keyword(F.col("p_name")).alias("report"), fl.is_informative_author(F.col("p_name")).alias("author"))
 
@@ -112,12 +113,6 @@ def flt13(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", fl.budget_reason(F.col("text"), F.col("turn"), 400, 4).alias("reason"))
 
 
-@query("flt14_short_pages")
-def flt14(spark, sf_dir):
-    text = sc.page_text(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(F.split(text, " ")).alias("n_words")).where("n_words >= 80")
-
-
 @query("sca01_uids")
 def sca01(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", sc.paper_uid(F.col("source"), F.col("doc_id").cast("string"), F.lit(""), first_line(), F.lit("")).alias("paper_uid"))
@@ -172,17 +167,30 @@ def sca18(spark, sf_dir):
     return se.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("query").alias("item_id"), "term")
 
 
-@query("sca19_followup", "WITH u AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user') SELECT conv_id, turn, md5(CASE WHEN before IS NOT NULL AND regexp_matches(lower(text), '(^| )(it|this|that|un|de|der)( |$)') THEN before || ' ' || text ELSE text END) AS digest FROM u")
+def marker_sql(text: str, markers: tuple[str, ...]) -> str:
+    listed = ", ".join("'" + m.replace("'", "''") + "'" for m in markers)
+    return f"len(list_filter([{listed}], lambda m: contains(lower(coalesce({text}, '')), m))) > 0"
+
+
+@query("flt14_short_pages", rf"SELECT page_id, CASE WHEN {marker_sql('t', C.BLOCKED_PAGE)} THEN 'blocked' WHEN len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '')) < CASE WHEN page_id % 2 = 0 THEN 700 ELSE 80 END THEN 'short' ELSE 'kept' END AS verdict FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_PAGE}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM pages)")
+def flt14(spark, sf_dir):
+    # every other page stands for one that a browser rendered
+    return table(spark, sf_dir, "pages").select("page_id", fl.page_verdict(sc.page_text(F.col("html")), F.col("page_id") % 2 == 0).alias("verdict"))
+
+
+@query("sca19_followup", f"WITH u AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user') SELECT conv_id, turn, md5(CASE WHEN before IS NOT NULL AND {marker_sql('text', C.REFERENCE_WORDS)} THEN before || ' ' || text ELSE text END) AS digest FROM u")
 def sca19(spark, sf_dir):
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     turns = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("before", before)
-    refers = F.col("before").isNotNull() & F.lower("text").rlike("(^| )(it|this|that|un|de|der)( |$)")
-    return turns.select("conv_id", "turn", F.md5(F.when(refers, F.concat_ws(" ", "before", "text")).otherwise(F.col("text")).cast("binary")).alias("digest"))
+    return turns.select("conv_id", "turn", F.md5(fl.follow_up(F.col("text"), F.col("before")).cast("binary")).alias("digest"))
+
+
+MARKERS = {"multi_facet": C.MULTI_FACET, "weak": C.WEAK_ANSWER, "honest": C.HONEST_VERDICTS, "literature": C.LITERATURE_INTENT, "capability": C.CAPABILITY_INTENT}
 
 
-@query("sca20_26_markers", "SELECT conv_id, turn, regexp_matches(lower(text), ' and | or | et | und ') AS multi_facet, length(text) < 40 AS weak FROM conversations")
+@query("sca20_26_markers", "SELECT conv_id, turn, " + ", ".join(f"{marker_sql('text', m)} AS {name}" for name, m in MARKERS.items()) + " FROM conversations")
 def sca20(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").rlike(" and | or | et | und ").alias("multi_facet"), (F.length("text") < 40).alias("weak"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[fl.has_marker(F.col("text"), m).alias(name) for name, m in MARKERS.items()])
 
 
 @query("sca21_snippets", "SELECT doc_id, CASE WHEN t <> '' AND starts_with(trim(text), t) THEN trim(substr(trim(text), length(t) + 1))[1:120] ELSE trim(text)[1:120] END AS snippet FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS t FROM documents)")
@@ -324,11 +332,11 @@ def agg29(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(total.alias("tokens"), F.when(total > 500, "over").otherwise("within").alias("budget"))
 
 
-@query("win14_compaction", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT conv_id, turn, CASE WHEN back > 2 AND length(text) > 80 THEN text[1:80] ELSE text END AS text FROM r")
+@query("win14_compaction", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS first, sum(length(text)) OVER (PARTITION BY conv_id) AS all_ FROM conversations),
+s AS (SELECT conv_id, turn, CASE WHEN back > 2 AND length(text) > 80 THEN text[1:80] ELSE text END AS text, all_ > 400 AND first > 1 AND back > 4 AS middle FROM r)
+SELECT conv_id, turn, text, 0 AS folded FROM s WHERE NOT middle UNION ALL SELECT conv_id, min(turn), string_agg(text, chr(10) ORDER BY turn), count(*) FROM s WHERE middle GROUP BY conv_id""")
 def win14(spark, sf_dir):
-    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    rows = table(spark, sf_dir, "conversations").withColumn("back", back)
-    return rows.select("conv_id", "turn", F.when((F.col("back") > 2) & (F.length("text") > 80), F.substring("text", 1, 80)).otherwise(F.col("text")).alias("text"))
+    return dl.compacted(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", budget=400, long=80)
 
 
 @query("str02_rate_limit", "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n, count(*) > 1 AS over_limit FROM events GROUP BY ALL")
@@ -386,7 +394,7 @@ def ret02(spark, sf_dir):
 
 def lexical(spark, sf_dir):
     terms = se.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return se.lexical(se.postings(docs(spark, sf_dir), "doc_id", "text"), terms, 40)
+    return se.lexical(se.postings(docs(spark, sf_dir), "doc_id", "text", terms), terms, 40)
 
 
 @query("ret01_lexical", LEX + "SELECT * FROM lex WHERE rank <= 40")
@@ -469,7 +477,7 @@ def eva01(spark, sf_dir):
     titles = asked.select((F.col("doc_id") * 2).alias("query"), F.col("title").alias("words"))
     texts = asked.select((F.col("doc_id") * 2 + 1).alias("query"), F.col("text").alias("words"))
     terms = se.query_terms(titles, "query", "words").union(se.query_terms(texts, "query", "words", most=6))
-    ranked = se.lexical(se.postings(docs(spark, sf_dir), "doc_id", "text"), terms, 10)
+    ranked = se.lexical(se.postings(docs(spark, sf_dir), "doc_id", "text", terms), terms, 10)
     kinds = terms.select("query").distinct().select("query", F.expr("query div 2").alias("target"), F.when(F.col("query") % 2 == 0, "title").otherwise("keywords").alias("kind"))
     return se.self_retrieval(ranked, kinds, "kind")
 

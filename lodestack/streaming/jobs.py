@@ -14,11 +14,18 @@ from ..operators.dedupe import upsert
 from ..storage import new_path
 
 
-def stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
-    """A Parquet file or folder as a stream; the schema is the one on disk."""
+def stream(spark: SparkSession, path: str, files_per_trigger: int = 4, done: str | None = None) -> DataFrame:
+    """A Parquet file or folder as a stream; the schema is the one on disk.
+
+    ``done`` says what becomes of files that have been read: a folder to which they are moved, or ``delete``.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if done == "delete":
+        reader = reader.option("cleanSource", "delete")
+    elif done:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", done)
     return reader.option("recursiveFileLookup", "true").parquet(f"{folder}/{name}*")
 
 
