@@ -86,13 +86,7 @@ def gra06(spark, sf_dir):
 
 @query("gra07_communities")
 def gra07(spark, sf_dir):
-    return gr.best_communities(name_edges(spark, sf_dir))[0]
-
-
-@query("gra07_sensitivity")
-def gra07_sensitivity(spark, sf_dir):
-    rows = gr.best_communities(name_edges(spark, sf_dir))[1]
-    return spark.createDataFrame(rows, "resolution double, communities long, modularity double, chosen boolean")
+    return gr.best_communities(stage(name_edges(spark, sf_dir), "edges"))
 
 
 LABELS = ", labels AS (SELECT node, node[1:1] AS community FROM (SELECT DISTINCT node FROM both_ways))"
