@@ -3,25 +3,28 @@
 A window is ``WINDOW`` consecutive words of one document. Among the ``CORE``-word runs inside a
 window the one of least hash is its anchor (the leftmost of equal ones), so equal windows have
 equal anchors at equal places. Neighbouring windows mostly share an anchor; the words of all
-windows that share one are its *span*. One fingerprint row, (anchor hash, span hash, 64 bits each), thus stands
-for about eight windows.
+windows that share one are its *span*. One fingerprint row, (anchor hash, span hash, 64 bits each of
+different functions), thus stands for about eight windows.
 
-The index is a list of immutable runs, each sorted by anchor hash with one row for each
-fingerprint: the first and last document that has it. A new batch of documents, later than all
-batches before, is merge-joined with the runs:
+The index is a list of immutable runs. A run has one row for each fingerprint, with the first and last
+document that has it, and is kept as a table bucketed and sorted by anchor hash. A new batch of documents,
+later than all batches before, forms a run of the same buckets, which is merge-joined with each old run
+bucket by bucket: old runs are read, not dealt out again. Old rows whose anchor the batch has are compared:
 
-* an occurrence whose whole span an earlier document has makes all its windows repeats;
+* an occurrence whose whole span (128 bits with its anchor) an earlier document has makes all its
+  windows repeats;
 * where an anchor occurs with different spans, the first document of each span is read again and
   its windows are compared one by one on 128-bit window hashes (the verification);
 * windows that repeat inside one document are found there.
 
-The batch's own fingerprints then form a new run, and when ``FANOUT`` runs of a level exist they
-are compacted into one of the next level.
+The batch's run then joins the index, and when ``FANOUT`` runs of a level exist they are compacted into
+one of the next level. Runs are tables of the session's catalog, at places in the shared folder; ``close``
+drops them.
 
 Documents must carry ids that ascend over batches: "earlier" means a smaller id, or the same
 document further left. Null text has no words. Rows with a null id take no part in comparisons
 between documents; only their own inner repeats are removed. Repeated rows of one id count as one
-document.
+document, so each loses what any of them loses at the same place. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -35,15 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, stage
+from ..storage import discard, new_path, stage
 from . import kernel as K
 
 WINDOW = 20
 CORE = 5
 FANOUT = 4
 _SLICE = 1 << 19
-#: Bits of the filters that spare rows without a partner from a shuffle (4 MB each; fixed size).
+#: Most bits of the filters that spare rows without a partner from a shuffle (4 MB each), and bits for each member.
 FILTER_BITS = 1 << 25
+BITS_EACH = 8
 
 
 @dataclass
@@ -207,12 +211,16 @@ def _slots(hashes: pa.Array, bits: int) -> np.ndarray:
     return np.asarray(hashes).astype(np.int64).view(np.uint64) & np.uint64(bits - 1)
 
 
-def _maybe(table: DataFrame, members: DataFrame, *keys: str, bits: int = FILTER_BITS):
-    """A condition on rows of ``table``: certainly true where ``members`` has the same keys, mostly false elsewhere.
+def _maybe(table: DataFrame, members: DataFrame, *keys: str):
+    """A condition on rows of ``table``: certainly true where ``members`` (staged) has the same keys, mostly false elsewhere.
 
-    A bitmap of fixed size is gathered and broadcast, so that a join with ``members`` shuffles little
-    of ``table``. With more members than bits the bitmap only spares less.
+    A bitmap for all members is gathered and broadcast, so that a join with ``members`` shuffles little of
+    ``table``. With more members than it has room for, nothing is gathered and all rows pass.
     """
+    n = members.count()
+    bits = max(1 << 10, 1 << (BITS_EACH * max(n, 1) - 1).bit_length())
+    if bits > FILTER_BITS:
+        return F.lit(True)
     words = np.zeros(bits // 64, np.uint64)
     hashed = members.select(F.xxhash64(*keys).alias("h"))
     rows = hashed.mapInArrow(_bitmap(bits), "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits"))
@@ -230,34 +238,57 @@ def _maybe(table: DataFrame, members: DataFrame, *keys: str, bits: int = FILTER_
 
 @dataclass
 class FingerprintIndex:
-    """Sorted runs by level, as staged tables ``anchor, span, first, last``."""
+    """Sorted runs by level, as bucketed tables ``anchor, span, first, last``."""
 
     spark: SparkSession
     window: int = WINDOW
     core: int = CORE
     fanout: int = FANOUT
-    levels: dict[int, list[DataFrame]] = field(default_factory=dict)
+    buckets: int = 0
+    levels: dict[int, list[str]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     @property
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[str]:
+        """Names of the tables."""
         return [r for level in sorted(self.levels) for r in self.levels[level]]
 
-    def _sorted_run(self, rows: DataFrame) -> DataFrame:
+    def _new_run(self, rows: DataFrame) -> str:
         merged = rows.groupBy("anchor", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        return stage(merged.sortWithinPartitions("anchor", "span"), "run")
-
-    def _add(self, run: DataFrame) -> None:
+        path = new_path(self.spark, "run")
+        name = "run_" + path.rsplit("-", 1)[1]
+        dealt = merged.repartition(self.buckets, "anchor").sortWithinPartitions("anchor", "span")
+        written = dealt.write.bucketBy(self.buckets, "anchor").sortBy("anchor", "span").option("path", path).option("compression", "zstd")
+        written.format("parquet").saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        discard(self.spark.table(name))
+        self.spark.sql(f"DROP TABLE {name}")
+
+    def close(self) -> None:
+        for name in self.runs:
+            self._drop(name)
+        self.levels.clear()
+
+    def _add(self, run: str) -> None:
         level, have = 0, run
         while True:
             self.levels.setdefault(level, []).append(have)
             if len(self.levels[level]) < self.fanout:
                 return
             old = self.levels.pop(level)
-            have = self._sorted_run(reduce(DataFrame.union, old))
-            for r in old:
-                discard(r)
+            have = self._new_run(reduce(DataFrame.union, map(self.spark.table, old)))
+            for name in old:
+                self._drop(name)
             level += 1
 
+    def touched(self, fresh: DataFrame) -> list[DataFrame]:
+        """Of each run the rows whose anchor ``fresh``, a run, has: a merge join of equal buckets."""
+        return [self.spark.table(name).join(fresh.select("anchor").hint("merge"), "anchor", "left_semi") for name in self.runs]
+
     def absorb(self, docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Ranges of repeated windows in ``docs`` (``doc_id, low, high`` in window numbers), staged.
 
@@ -265,12 +296,11 @@ class FingerprintIndex:
         index afterwards holds the batch too. Repeats inside one document are not listed.
         """
         seen = stage(docs.where("doc_id is not null").mapInArrow(_occurrences(self.window, self.core), "anchor long, span long, doc_id long, low int, high int"), "occurrences")
-        fresh = self._sorted_run(seen.select("anchor", "span", F.col("doc_id").alias("first"), F.col("doc_id").alias("last")))
-        known = fresh
+        run = self._new_run(seen.select("anchor", "span", F.col("doc_id").alias("first"), F.col("doc_id").alias("last")))
+        known = fresh = self.spark.table(run)
         if self.runs:
-            old = reduce(DataFrame.union, self.runs)
-            touched = old.where(_maybe(old, fresh, "anchor"))
-            known = stage(fresh.union(touched).groupBy("anchor", "span").agg(F.min("first").alias("first"), F.max("last").alias("last")), "known")
+            every = reduce(DataFrame.union, [fresh, *self.touched(fresh)])
+            known = stage(every.groupBy("anchor", "span").agg(F.min("first").alias("first"), F.max("last").alias("last")), "known")
         repeated = stage(known.where("first < last").select("anchor", "span", "first"), "repeated")
         mixed = stage(known.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor"), "mixed")
         whole = seen.where(_maybe(seen, repeated, "anchor", "span")).join(repeated, ["anchor", "span"]).where("doc_id > first")
@@ -296,7 +326,9 @@ class FingerprintIndex:
         least = windows.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
         single = windows.join(least, ["hash_a", "hash_b"]).where("doc_id > first").select("doc_id", "low", F.col("low").alias("high"))
         found = stage(whole.union(single), "repeats")
-        self._add(fresh)
+        if self.runs:
+            discard(known)
+        self._add(run)
         for table in (seen, repeated, mixed, leaders, whole, mine, windows):
             discard(table)
         return found
@@ -328,9 +360,10 @@ def remove_repeats(
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
         found.append(index.absorb(part, given.where(F.col("doc_id") <= low) if low is not None else None))
-    for run in index.runs:
-        discard(run)
-    ranges = reduce(DataFrame.union, found)
+    index.close()
+    ranges = stage(reduce(DataFrame.union, found), "ranges")
+    for part in found:
+        discard(part)
     hit = _maybe(given, ranges, "doc_id")
     lists = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("r")).select("doc_id", "r.low", "r.high")
     shape = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
