@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..storage import new_path
 from ..tables import table
-from . import decontaminate
+from . import decontaminate, piecetable
 from .common import id_residue
 from .langid import LanguageModel
 from .mixing import mix
 from .neardup import near_duplicates
+from .piecetable import fill_in_middle, restored
 from .quality import QualityRules
 from .secrets import scan_secrets, span_text
 from .sharding import assign_shards
@@ -94,6 +95,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous", "distance")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fill-in-the-middle form, and the text as rebuilt from the output."""
+    rows = restored(fill_in_middle(table(spark, sf_dir, "documents")).drop("pieces"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
@@ -106,8 +115,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jump_shards": op8_jump_shards,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language_id": op10_language_id,
+        "op12_fill_in_middle": op12_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.ORACLE}
+    return {"op6_decontaminate": decontaminate.ORACLE, "op12_fill_in_middle": piecetable.ORACLE}
