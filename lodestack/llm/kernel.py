@@ -96,12 +96,13 @@ class Words:
         return len(self.start)
 
 
-def words(text: Text) -> Words:
+def words(text: Text, breaks: np.ndarray = _SPACE) -> Words:
+    """Runs of bytes that ``breaks`` (by byte value) does not mark."""
     n, docs = len(text.data), len(text)
     if not n:
         empty = np.zeros(0, np.int64)
         return Words(empty, empty, empty, np.zeros(docs + 1, np.int64))
-    solid = ~_SPACE[text.data]
+    solid = ~breaks[text.data]
     edge = np.zeros(n + 1, bool)
     edge[text.offsets] = True
     begins = solid.copy()

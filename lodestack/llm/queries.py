@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import new_path
 from ..tables import table
-from . import decontaminate, piecetable
+from . import decontaminate, lexical, piecetable
 from .common import id_residue
 from .langid import LanguageModel
 from .mixing import mix
@@ -103,6 +103,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
@@ -116,8 +121,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language_id": op10_language_id,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.ORACLE, "op12_fill_in_middle": piecetable.ORACLE}
+    return {"op6_decontaminate": decontaminate.ORACLE, "op12_fill_in_middle": piecetable.ORACLE, "op13_ranked_search": lexical.ORACLE}
