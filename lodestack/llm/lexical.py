@@ -196,15 +196,18 @@ def _leading(item: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np
 
 
 def _similarity(shared):
-    """Vectors with an integer that is alike for documents of like contributions."""
+    """Vectors (with terms) with an integer that is alike for documents of like contributions."""
 
     def run(batches):
         asked = shared.value
         signs = np.random.Generator(np.random.PCG64(13)).choice(np.array([-1.0, 1.0], np.float32), (asked.terms, BITS))
         for batch in batches:
             _, first, term, _, value = _postings(asked, batch)
-            sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(value[:, None] * signs[term], axis=0, dtype=np.float64)])
-            bits = (sums[first[1:]] - sums[first[:-1]]) > 0
+            bits = np.zeros((batch.num_rows, BITS), bool)
+            for at in range(0, batch.num_rows, 256):
+                begin = first[at : at + 257]
+                own = slice(begin[0], begin[-1])
+                bits[at : at + 256] = np.add.reduceat(value[own, None] * signs[term[own]], begin[:-1] - begin[0]) > 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((bits * (1 << np.arange(BITS - 1, -1, -1))).sum(1).astype(np.int32))], names=[*batch.schema.names, "near"])
 
     return run
