@@ -316,7 +316,8 @@ def _reached(shared):
             order = np.argsort(number, kind="stable")
             number, pair = number[order], (member * n_items + item)[order]
             cuts = np.flatnonzero(np.diff(number, prepend=-1))
-            pairs = [np.unique(pair[low:high]) for low, high in zip(cuts, [*cuts[1:], len(pair)], strict=True)]
+            ends = np.append(cuts, len(pair))
+            pairs = [np.unique(pair[low:high]) for low, high in zip(ends[:-1], ends[1:], strict=True)]
             lists = [pa.array([v // n_items for v in pairs], pa.list_(pa.int32())), pa.array([v % n_items for v in pairs], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([pa.array(number[cuts]), *lists], names=["slice", "member", "item"])
 
