@@ -19,6 +19,7 @@ from .quality import QualityRules
 from .secrets import scan_secrets, span_text
 from .sharding import assign_shards
 from .substring import remove_repeats
+from .suffixes import remove_repeated_bytes
 from .tokens import read_tokens, write_tokens
 from .toxicity import ToxicityModel
 
@@ -83,7 +84,8 @@ def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents similar on 2-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +97,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous", "distance")
 
 
+def op11_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that start anywhere else too."""
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fill-in-the-middle form, and the text as rebuilt from the output."""
     rows = restored(fill_in_middle(table(spark, sf_dir, "documents")).drop("pieces"))
@@ -120,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jump_shards": op8_jump_shards,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language_id": op10_language_id,
+        "op11_suffix_arrays": op11_suffix_arrays,
         "op12_fill_in_middle": op12_fill_in_middle,
         "op13_ranked_search": op13_ranked_search,
     }
