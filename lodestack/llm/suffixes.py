@@ -14,7 +14,10 @@ equal suffixes are neighbours), with one place where it occurs and whether there
   old place that was alone so far;
 * of an anchor with several spans one place of each span is read again. The spans' bytes are sorted as suffixes by
   prefix doubling, and windows that are neighbours with ``WINDOW`` bytes in common are repeats. Anchors with more than
-  ``GROUP`` spans are compared by rows of 128-bit window hashes instead, which spread over all tasks.
+  ``GROUP`` spans are refined by halves instead (see ``_refined``), in joins that spread over all tasks.
+
+A span that a task meets more than once is known to repeat: its places go straight to the result, and one row for all of
+them to the array, so a string that fills much of the corpus makes a few rows a task.
 
 Then the array joins the family; two arrays of one level are merged into one of the next, so n batches leave about log n
 arrays. The family is listed in a manifest and can be reopened by its path.
@@ -77,13 +80,13 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _sampled(text: K.Text, window: int, core: int) -> tuple[np.ndarray, ...]:
-    """Of a slice's sampled suffixes: document, first and last window (byte numbers in the slice), anchor and span."""
+    """Of a slice's sampled suffixes: document, first and last window and anchor's place (byte numbers in the slice), anchor, span."""
     n = len(text.data)
     doc = np.repeat(np.arange(len(text), dtype=np.int32), np.diff(text.offsets))
     at = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :]) if n >= window else np.zeros(0, np.int64)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(_U), none.view(_U)
+        return none, none, none, none, none.view(_U), none.view(_U)
     sums = K.byte_sums(text.data)
     every = np.arange(n - core + 1)
     cores = K.hashes_between(sums, every, every + core)
@@ -93,21 +96,50 @@ def _sampled(text: K.Text, window: int, core: int) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(new)
     low, high, where = at[begin], at[np.append(begin[1:], len(at)) - 1], where[begin]
     span = K.range_hashes(text.data, low, high + window, 1)
-    return doc[low], low, high, cores[where], K.mix(span + K.mix((where - low).astype(_U)))
+    return doc[low], low, high, where, cores[where], K.mix(span + K.mix((where - low).astype(_U)))
+
+
+def _combined(rows: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of suffixes (anchor, span, row of the batch, low, high): one of each span with n = 1 or, of several, 2; and all places of the latter."""
+    order = np.lexsort((rows[1], rows[0]))
+    rows = [x[order] for x in rows]
+    first = np.ones(len(order), bool)
+    first[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+    begin = np.flatnonzero(first)
+    size = np.diff(np.append(begin, len(order)))
+    again = np.repeat(size > 1, size)
+    return [*(x[begin] for x in rows), np.minimum(size, 2)], [x[again] for x in rows[2:]]
+
+
+#: Suffixes that a task combines at once.
+COMBINED = 1 << 19
 
 
 def _suffixes(window: int, core: int):
-    """doc_id, version, text -> a row for each sampled suffix."""
+    """doc_id, version, text -> a row for each different sampled suffix (n 1 or 2), and for each place that is known to repeat (n 0)."""
 
     def run(batches):
         for batch in batches:
+            held: list[list[np.ndarray]] = []
+
+            def flush(batch=batch, held=held):
+                if not held:
+                    return
+                (anchor, span, row, low, high, n), known = _combined([np.concatenate(x) for x in zip(*held, strict=True)])
+                held.clear()
+                rows = pa.array(np.concatenate([row, known[0]]))
+                keys = [batch.column(k).take(rows) for k in (0, 1)]
+                hashes = [pa.array(np.concatenate([x.view(np.int64), np.zeros(len(known[0]), np.int64)])) for x in (anchor, span)]
+                ends = [pa.array(np.concatenate(x).astype(np.int32)) for x in ((n, np.zeros(len(known[0]))), (low, known[1]), (high, known[2]))]
+                yield pa.RecordBatch.from_arrays([*hashes, ends[0], *keys, *ends[1:]], names=["anchor", "span", "n", *_KEY, "low", "high"])
+
             for text, base in _pieces(batch.column(2), window):
-                doc, low, high, anchor, span = _sampled(text, window, core)
-                row = pa.array(doc + text.first)
+                doc, low, high, _, anchor, span = _sampled(text, window, core)
                 begin = text.offsets[doc] - base
-                places = [pa.array((x - begin).astype(np.int32)) for x in (low, high)]
-                hashes = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (anchor, span)]
-                yield pa.RecordBatch.from_arrays([*hashes, batch.column(0).take(row), batch.column(1).take(row), *places], names=["anchor", "span", "doc_id", "version", "low", "high"])
+                held.append([np.ascontiguousarray(anchor), span, doc + text.first, low - begin, high - begin])
+                if sum(len(x[0]) for x in held) > COMBINED:
+                    yield from flush()
+            yield from flush()
 
     return run
 
@@ -196,7 +228,7 @@ def _neighbours(window: int):
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             held = rows if held is None else pa.concat_tables([held, rows])
-            while held is not None and held["raw"].nbytes > SORTED:
+            while held["raw"].nbytes > SORTED:
                 anchor = held["anchor"].to_numpy()
                 ends = np.flatnonzero(np.diff(anchor)) + 1
                 size = np.cumsum([len(v.as_buffer()) for v in held["raw"]])
@@ -205,30 +237,89 @@ def _neighbours(window: int):
                     break
                 yield _repeated(held.slice(0, ends[-1]), window)
                 held = held.slice(ends[-1]).combine_chunks()
-                if held.num_rows * 2 < batch.num_rows:
-                    break
         if held is not None and held.num_rows:
             yield _repeated(held, window)
 
     return run
 
 
-def _hashed(window: int):
-    """Spans -> a row of two hashes for each window."""
+_ITEM = "doc_id long, version int, low int, n int, c0 int, raw binary, block int, a long, b long, part long, first int, last int"
+
+
+def _halved(window: int, core: int, size: int):
+    """Spans, or blocks of them, -> their blocks of ``size`` windows, as ``_refined`` compares them."""
 
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
-                data, starts, span, place = _windows_of(part.column(6).to_pylist(), window)
-                hashes = [pa.array(K.range_hashes(data, starts, starts + window, k).view(np.int64)) for k in (0, 1)]
-                row = pa.array(span)
-                at = part.column(5).to_numpy()[span] + place
-                yield pa.RecordBatch.from_arrays([*hashes, *(part.column(k).take(row) for k in (2, 3, 4)), pa.array(at.astype(np.int32))], names=["a", "b", "n", "doc_id", "version", "low"])
+            for at in range(0, batch.num_rows, 2048):
+                rows = pa.Table.from_batches([batch.slice(at, 2048)])
+                raw = rows["raw"].to_pylist()
+                length = np.array([len(r) for r in raw])
+                begin = np.cumsum(length) - length
+                data = np.frombuffer(b"".join(raw), np.uint8)
+                if "c0" in rows.column_names:
+                    c0, block = (rows[c].to_numpy().astype(np.int64) for c in ("c0", "block"))
+                    low_block, high_block = block, block + size
+                else:
+                    # windows are numbered so that those with the anchor at one place have one number
+                    where = _sampled(K.Text(data, np.append(begin, len(data)), 0), window, core)[3]
+                    c0 = window - core - (where - begin)
+                    low_block, high_block = c0 // size * size, (c0 + length - window) // size * size
+                count = (high_block - low_block) // size + 1
+                row = np.repeat(np.arange(len(raw)), count)
+                block = low_block[row] + size * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+                first, end = np.maximum(c0[row], block), np.minimum((c0 + length - window + 1)[row], block + size)
+                some = first < end
+                row, block, first, end = row[some], block[some], first[some], end[some]
+                shift = begin[row] - c0[row]
+                hashes = []
+                for k in (0, 1):
+                    sums = K.byte_sums(data, k)
+                    hashes.append(K.mix(K.hashes_between(sums, block + size - 1 + shift, block + window + shift, k) + block.astype(_U)))
+                    if k:
+                        hashes.append(K.mix(K.hashes_between(sums, first + shift, end - 1 + window + shift, k) + K.mix(first.astype(_U))))
+                low = rows["low"].to_numpy().astype(np.int64)[row] - c0[row]
+                own = pa.array(row)
+                ints = lambda x: pa.array(x.astype(np.int32))
+                keep = [rows[c].combine_chunks().take(own) for c in ("doc_id", "version", "low", "n")]
+                yield pa.RecordBatch.from_arrays(
+                    [*keep, ints(c0[row]), rows["raw"].combine_chunks().take(own), ints(block), *(pa.array(h.view(np.int64)) for h in hashes), ints(low + first), ints(low + end - 1)],
+                    names=[f.split()[0] for f in _ITEM.split(", ")],
+                )
 
     return run
 
 
+def _refined(spans: DataFrame, window: int, core: int) -> list[DataFrame]:
+    """Repeats among spans of anchors with many spans, staged; no task needs all spans of an anchor.
+
+    Windows are numbered by their distance from the anchor and cut into blocks of equal numbers. Spans that share a window of a
+    block have in common what all the block's windows cover, and are grouped by that (128 bits). Spans with all the same windows in the block
+    repeat each other there, and one of them goes on for all; spans alone in their group are done. Where a group has several
+    kinds left, its blocks are halved, down to single windows. So a round has a row for each span that still has a partner,
+    not one for each window.
+    """
+    found, size = [], 1
+    while 2 * size < window:
+        size *= 2
+    given = spans
+    while size and not given.isEmpty():
+        items = stage(given.mapInArrow(_halved(window, core, size), _ITEM), "items")
+        kinds = items.groupBy("a", "b", "part").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "version", "low", "n", "c0", "raw", "block")).alias("one"))
+        kinds = stage(kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("a", "b"))), "kinds")
+        same = kinds.where("c > 1").select("a", "b", "part")
+        found.append(stage(items.where("n = 1").join(same, ["a", "b", "part"], "left_semi").select(*_KEY, F.col("first").alias("low"), F.col("last").alias("high")), "repeats"))
+        rest = stage(kinds.where("kinds > 1").select("one.*"), "spans")
+        discard(items)
+        discard(kinds)
+        if given is not spans:
+            discard(given)
+        given, size = rest, size // 2
+    if given is not spans:
+        discard(given)
+    return found
+
+
 def _merged(tables: list[DataFrame]) -> DataFrame:
     """One row for each span: whether it occurs once (1) or more often (2), and its first place."""
     rows = reduce(DataFrame.union, tables)
@@ -250,14 +341,16 @@ class SuffixFamily:
         ``docs`` and of windows in ``history`` that nothing repeated before.
         """
         store = self.store
-        given = docs.mapInArrow(_suffixes(self.window, self.core), "anchor long, span long, " + _PLACE)
-        seen = store.write(given)
+        given = stage(docs.mapInArrow(_suffixes(self.window, self.core), "anchor long, span long, n int, " + _PLACE), "suffixes")
+        seen = store.write(given.where("n > 0"))
         places = store.table(seen)
+        found = [stage(given.where("n = 0").select(*_KEY, "low", "high"), "repeats")]
+        discard(given)
         with by_bucket(self.spark):
-            run = store.write(_merged([places.select("anchor", "span", F.lit(1).alias("n"), "doc_id", "version", "low", "high")]), dealt=True)
+            run = store.write(_merged([places]), dealt=True)
             fresh, levels = store.table(run), store.tables
-            several = Window.partitionBy("anchor", "span")
-            found = [stage(places.withColumn("n", F.count("*").over(several)).where("n > 1").select(*_KEY, "low", "high"), "repeats")]
+            every = F.sum("n").over(Window.partitionBy("anchor", "span"))
+            found.append(stage(places.withColumn("every", every).where("every > 1 and n = 1").select(*_KEY, "low", "high"), "repeats"))
             touched = []
             for level in levels:
                 found.append(stage(places.join(level.select("anchor", "span").hint("merge"), ["anchor", "span"], "left_semi").select(*_KEY, "low", "high"), "repeats"))
@@ -272,13 +365,11 @@ class SuffixFamily:
         spans = stage(texts.join(lists, _KEY).select(*_KEY, "text", "places").mapInArrow(_spans(self.window), _SPANS), "spans")
         small = spans.where(F.col("spans") <= GROUP).repartition(store.buckets, "anchor").sortWithinPartitions("anchor")
         found.append(stage(small.mapInArrow(_neighbours(self.window), _PLACE), "repeats"))
-        windows = stage(spans.where(F.col("spans") > GROUP).mapInArrow(_hashed(self.window), "a long, b long, n int, doc_id long, version int, low int"), "windows")
-        again = windows.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
-        found.append(stage(windows.where("n = 1").join(again, ["a", "b"], "left_semi").select(*_KEY, "low", F.col("low").alias("high")), "repeats"))
+        found += _refined(spans.where(F.col("spans") > GROUP), self.window, self.core)
         out = stage(reduce(DataFrame.union, found), "ranges")
         store.drop(seen)
         store.add(run, _merged)
-        for table in (*found, leaders, spans, windows):
+        for table in (*found, leaders, spans):
             discard(table)
         return out
 

@@ -90,11 +90,13 @@ def test_later_session(spark):
     assert len(again.store.runs) == 1
     ids = {r.doc_id for r in again.absorb(second, first).collect()}
     assert ids == {1, 2, 3, 4}
+    again.store.close()
     third = SuffixFamily(spark, path)
     assert [r.level for r in third.store.runs] == [1]  # two arrays of level 0 were merged
     assert third.absorb(keyed(spark.createDataFrame([(5, noise(300, 21))], "doc_id long, text string")), first.union(second)).count() == 0
     third.store.delete()
     assert SuffixFamily(spark, path).store.runs == []
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
 
 
 def test_suffix_order():
