@@ -6,40 +6,40 @@ equal anchors at equal places. Neighbouring windows mostly share an anchor; the
 windows that share one are its *span*. One fingerprint row, (anchor hash, span hash, 64 bits each of
 different functions), thus stands for about eight windows.
 
-The index is a list of immutable runs. A run has one row for each fingerprint, with the first and last
-document that has it, and is kept as a table bucketed and sorted by anchor hash. A new batch of documents,
-later than all batches before, forms a run of the same buckets, which is merge-joined with each old run
-bucket by bucket: old runs are read, not dealt out again. Old rows whose anchor the batch has are compared:
+The index is a list of immutable runs (see ``runs``): tables bucketed and sorted by anchor and span, with a row for
+each fingerprint and the first place that has it. A new batch of documents, later than all batches before, is dealt out once
+by anchor; its run and its places have the same buckets, so they are merge-joined with each old run bucket by bucket: old
+runs are read, not dealt out again.
 
-* an occurrence whose whole span (128 bits with its anchor) an earlier document has makes all its
-  windows repeats;
-* where an anchor occurs with different spans, the first document of each span is read again and
-  its windows are compared one by one on 128-bit window hashes (the verification);
-* windows that repeat inside one document are found there.
+* A place whose whole span (128 bits with its anchor) an earlier document has makes all its windows repeats.
+* Where an anchor occurs with different spans, the first document of each span is read again and
+  its windows are compared one by one on 128-bit window hashes (the verification).
+* Windows that repeat inside one document are found when the document is cut.
 
 The batch's run then joins the index, and when ``FANOUT`` runs of a level exist they are compacted into
-one of the next level. Runs are tables of the session's catalog, at places in the shared folder; ``close``
-drops them.
+one of the next level. The runs are listed in a manifest in the shared folder: a later session reopens the index by its
+path and feeds it the next batch, with the documents of earlier batches as ``history``.
 
 Documents must carry ids that ascend over batches: "earlier" means a smaller id, or the same
 document further left. Null text has no words. Rows with a null id take no part in comparisons
-between documents; only their own inner repeats are removed. Repeated rows of one id count as one
-document, so each loses what any of them loses at the same place. A table without rows gives none.
+between documents; only their own inner repeats are removed. Rows of one id never are earlier than each other: each loses
+what smaller ids have and what it repeats itself, whether their texts are equal or not. A table without rows gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import discard, new_path, stage
+from ..storage import discard, stage
 from . import kernel as K
+from .runs import RunStore, by_bucket
 
 WINDOW = 20
 CORE = 5
@@ -92,44 +92,56 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).astype(np.int64, copy=False) if x.dtype != np.uint64 else x.view(np.int64))
 
 
+_KEY = ["doc_id", "version"]
+_PLACE = "doc_id long, version int, low int, high int"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, version, text``: the version, a hash, tells different texts of one id apart."""
+    return docs.select("doc_id", F.hash("text").alias("version"), "text")
+
+
 def _occurrences(window: int, core: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for text in K.slices(batch.column(1), _SLICE):
+            for text in K.slices(batch.column(2), _SLICE):
                 f = _fingerprints(text, window, core)
                 doc = f.words.doc[f.low]
-                begin = f.words.first[doc]
-                yield pa.RecordBatch.from_arrays(
-                    [_long(f.anchor), _long(f.span), ids.take(pa.array(doc + text.first)), pa.array((f.low - begin).astype(np.int32)), pa.array((f.high - begin).astype(np.int32))],
-                    names=["anchor", "span", "doc_id", "low", "high"],
-                )
+                begin, row = f.words.first[doc], pa.array(doc + text.first)
+                keys = [batch.column(k).take(row) for k in (0, 1)]
+                places = [pa.array((x - begin).astype(np.int32)) for x in (f.low, f.high)]
+                yield pa.RecordBatch.from_arrays([_long(f.anchor), _long(f.span), *keys, *places], names=["anchor", "span", *_KEY, "low", "high"])
 
     return run
 
 
+def _own_ranges(lists: pa.Array, row: int, words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last windows of a row's ranges. Rows with one key have one text, but for a hash collision; ranges
+    beyond the row's words are left out."""
+    low, high = (x.to_numpy().astype(np.int64) for x in lists[row].values.flatten())
+    inside = high + window <= words
+    return low[inside], high[inside]
+
+
 def _window_hashes(window: int):
-    """doc_id, text, ranges (low, high) of windows -> one row for each of those windows."""
+    """doc_id, version, text, ranges of windows -> one row for each of those windows."""
 
     def run(batches):
         for batch in batches:
-            ids, lows, highs = batch.column(0), batch.column(2), batch.column(3)
-            for text in K.slices(batch.column(1), _SLICE):
+            for text in K.slices(batch.column(2), _SLICE):
                 w = K.words(text)
                 sums = [K.sums_of(K.range_hashes(text.data, w.start, w.end, k), k) for k in (0, 1)]
                 at, doc = [], []
                 for i in range(len(text)):
-                    low = np.asarray(lows[text.first + i].values.to_numpy(zero_copy_only=False), np.int64)
-                    high = np.asarray(highs[text.first + i].values.to_numpy(zero_copy_only=False), np.int64)
+                    low, high = _own_ranges(batch.column(3), text.first + i, w.first[i + 1] - w.first[i], window)
                     size = high - low + 1
-                    own = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                    own = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
                     at.append(own + w.first[i])
                     doc.append(np.full(len(own), i))
                 at, doc = np.concatenate(at), np.concatenate(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [_long(K.span_hashes(sums[0], at, at + window)), _long(K.span_hashes(sums[1], at, at + window, 1)), ids.take(pa.array(doc + text.first)), pa.array((at - w.first[doc]).astype(np.int32))],
-                    names=["hash_a", "hash_b", "doc_id", "low"],
-                )
+                hashes = [_long(K.span_hashes(sums[k], at, at + window, k)) for k in (0, 1)]
+                keys = [batch.column(k).take(pa.array(doc + text.first)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*hashes, *keys, pa.array((at - w.first[doc]).astype(np.int32))], names=["hash_a", "hash_b", *_KEY, "low"])
 
     return run
 
@@ -155,12 +167,12 @@ def _inner_repeats(w: K.Words, sums, window: int) -> np.ndarray:
 
 
 def _cleaned(window: int, keep_text: bool):
-    """doc_id, text, lists of repeated window ranges -> the document without the words they cover."""
+    """doc_id, version, text and, if any, ranges of repeated windows -> the document without the words they cover."""
 
     def run(batches):
         for batch in batches:
-            has_ranges = batch.num_columns > 2
-            for text in K.slices(batch.column(1), _SLICE):
+            has_ranges = batch.num_columns > 3
+            for text in K.slices(batch.column(2), _SLICE):
                 w = K.words(text)
                 sums = [K.sums_of(K.range_hashes(text.data, w.start, w.end, k), k) for k in (0, 1)]
                 cover = np.zeros(len(w) + 1, np.int64)
@@ -169,10 +181,10 @@ def _cleaned(window: int, keep_text: bool):
                 np.add.at(cover, inner + window, -1)
                 if has_ranges:
                     for i in range(len(text)):
-                        low, high = batch.column(2)[text.first + i], batch.column(3)[text.first + i]
-                        if low.is_valid:
-                            np.add.at(cover, low.values.to_numpy(zero_copy_only=False) + w.first[i], 1)
-                            np.add.at(cover, high.values.to_numpy(zero_copy_only=False) + w.first[i] + window, -1)
+                        if batch.column(3)[text.first + i].is_valid:
+                            low, high = _own_ranges(batch.column(3), text.first + i, w.first[i + 1] - w.first[i], window)
+                            np.add.at(cover, low + w.first[i], 1)
+                            np.add.at(cover, high + w.first[i] + window, -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 removed = K.per_doc(gone, w.first)
                 raw, digests, texts = text.data.tobytes(), [], []
@@ -236,107 +248,76 @@ def _maybe(table: DataFrame, members: DataFrame, *keys: str):
     return maybe(F.xxhash64(*keys))
 
 
-@dataclass
-class FingerprintIndex:
-    """Sorted runs by level, as bucketed tables ``anchor, span, first, last``."""
+def _merged(tables: list[DataFrame]) -> DataFrame:
+    """One row for each fingerprint, with its first place."""
+    grouped = reduce(DataFrame.union, tables).groupBy("anchor", "span").agg(F.min(F.struct(*_KEY, "low", "high")).alias("p"))
+    return grouped.select("anchor", "span", "p.*")
+
 
-    spark: SparkSession
-    window: int = WINDOW
-    core: int = CORE
-    fanout: int = FANOUT
-    buckets: int = 0
-    levels: dict[int, list[str]] = field(default_factory=dict)
+class FingerprintIndex:
+    """Sorted runs of the batches absorbed so far; ``path`` names an index to reopen or begin."""
 
-    def __post_init__(self):
-        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, window: int = WINDOW, core: int = CORE, fanout: int = FANOUT, buckets: int = 0, path: str | None = None):
+        self.spark, self.window, self.core = spark, window, core
+        self.store = RunStore(spark, path, fanout=fanout, buckets=buckets)
 
     @property
     def runs(self) -> list[str]:
         """Names of the tables."""
-        return [r for level in sorted(self.levels) for r in self.levels[level]]
-
-    def _new_run(self, rows: DataFrame) -> str:
-        merged = rows.groupBy("anchor", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        path = new_path(self.spark, "run")
-        name = "run_" + path.rsplit("-", 1)[1]
-        dealt = merged.repartition(self.buckets, "anchor").sortWithinPartitions("anchor", "span")
-        written = dealt.write.bucketBy(self.buckets, "anchor").sortBy("anchor", "span").option("path", path).option("compression", "zstd")
-        written.format("parquet").saveAsTable(name)
-        return name
-
-    def _drop(self, name: str) -> None:
-        discard(self.spark.table(name))
-        self.spark.sql(f"DROP TABLE {name}")
+        return [r.name for r in self.store.runs]
 
     def close(self) -> None:
-        for name in self.runs:
-            self._drop(name)
-        self.levels.clear()
-
-    def _add(self, run: str) -> None:
-        level, have = 0, run
-        while True:
-            self.levels.setdefault(level, []).append(have)
-            if len(self.levels[level]) < self.fanout:
-                return
-            old = self.levels.pop(level)
-            have = self._new_run(reduce(DataFrame.union, map(self.spark.table, old)))
-            for name in old:
-                self._drop(name)
-            level += 1
+        """Forget the session's tables; the index can be reopened by its path."""
+        self.store.close()
 
     def touched(self, fresh: DataFrame) -> list[DataFrame]:
         """Of each run the rows whose anchor ``fresh``, a run, has: a merge join of equal buckets."""
-        return [self.spark.table(name).join(fresh.select("anchor").hint("merge"), "anchor", "left_semi") for name in self.runs]
+        return [old.join(fresh.select("anchor").hint("merge"), "anchor", "left_semi") for old in self.store.tables]
 
     def absorb(self, docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
-        """Ranges of repeated windows in ``docs`` (``doc_id, low, high`` in window numbers), staged.
+        """Ranges of repeated windows in ``docs`` (``doc_id, version, low, high`` in window numbers), staged.
 
         ``docs`` and ``history`` (all documents of earlier batches) have ``doc_id`` and ``text``. The
         index afterwards holds the batch too. Repeats inside one document are not listed.
         """
-        seen = stage(docs.where("doc_id is not null").mapInArrow(_occurrences(self.window, self.core), "anchor long, span long, doc_id long, low int, high int"), "occurrences")
-        run = self._new_run(seen.select("anchor", "span", F.col("doc_id").alias("first"), F.col("doc_id").alias("last")))
-        known = fresh = self.spark.table(run)
-        if self.runs:
-            every = reduce(DataFrame.union, [fresh, *self.touched(fresh)])
-            known = stage(every.groupBy("anchor", "span").agg(F.min("first").alias("first"), F.max("last").alias("last")), "known")
-        repeated = stage(known.where("first < last").select("anchor", "span", "first"), "repeated")
-        mixed = stage(known.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor"), "mixed")
-        whole = seen.where(_maybe(seen, repeated, "anchor", "span")).join(repeated, ["anchor", "span"]).where("doc_id > first")
-        whole = stage(whole.select("doc_id", "low", "high"), "repeats")
-        # The first document of each span of an anchor with several spans is read again.
-        leaders = known.where(_maybe(known, mixed, "anchor")).join(mixed, "anchor", "left_semi")
-        leaders = stage(leaders.select("anchor", "span", F.col("first").alias("doc_id")), "leaders")
-        lead = seen.where(_maybe(seen, leaders, "anchor", "span", "doc_id")).join(leaders, ["anchor", "span", "doc_id"], "left_semi")
-        mine = stage(lead.select("doc_id", "low", "high").distinct(), "leaders")
-        windows = self._windows(docs, mine)
-        if history is not None:
-            old_leaders = stage(leaders.join(seen.select("doc_id").distinct(), "doc_id", "left_anti"), "leaders")
-            ids = stage(old_leaders.select("doc_id").distinct(), "leaders")
-            again = history.where(_maybe(history, ids, "doc_id")).join(ids, "doc_id", "left_semi")
-            theirs = (
-                again.mapInArrow(_occurrences(self.window, self.core), "anchor long, span long, doc_id long, low int, high int")
-                .join(old_leaders, ["anchor", "span", "doc_id"], "left_semi")
-                .select("doc_id", "low", "high")
-                .distinct()
-            )
-            windows = windows.union(self._windows(history, stage(theirs, "leaders")))
-        windows = stage(windows, "windows")
-        least = windows.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        single = windows.join(least, ["hash_a", "hash_b"]).where("doc_id > first").select("doc_id", "low", F.col("low").alias("high"))
-        found = stage(whole.union(single), "repeats")
-        if self.runs:
-            discard(known)
-        self._add(run)
-        for table in (seen, repeated, mixed, leaders, whole, mine, windows):
+        store, given = self.store, _keyed(docs)
+        seen = store.write(given.where("doc_id is not null").mapInArrow(_occurrences(self.window, self.core), "anchor long, span long, " + _PLACE))
+        places = store.table(seen)
+        with by_bucket(self.spark):
+            run = store.write(_merged([places]), dealt=True)
+            fresh, touched = store.table(run), self.touched(store.table(run))
+            ranked = places.withColumn("first", F.min("doc_id").over(Window.partitionBy("anchor", "span")))
+            found = [stage(ranked.where("doc_id > first").select(*_KEY, "low", "high"), "repeats")]
+            for old in store.tables:
+                earlier = places.join(old.select("anchor", "span", F.col("doc_id").alias("first")).hint("merge"), ["anchor", "span"]).where("doc_id > first")
+                found.append(stage(earlier.select(*_KEY, "low", "high"), "repeats"))
+            known = _merged([fresh, *touched]) if touched else fresh
+            mixed = stage(known.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor"), "mixed")
+            # the first document of each span of an anchor with several spans is read again
+            lead = ranked.where("doc_id = first").join(mixed, "anchor", "left_semi")
+            for old in store.tables:
+                lead = lead.join(old.select("anchor", "span").hint("merge"), ["anchor", "span"], "left_anti")
+            mine = stage(lead.select(*_KEY, "low", "high"), "leaders")
+            windows = [stage(self._windows(given, mine), "windows")]
+            staged = [mixed, mine, *windows]
+            if touched and history is not None:
+                theirs = stage(reduce(DataFrame.union, touched).join(mixed, "anchor", "left_semi").select(*_KEY, "low", "high"), "leaders")
+                windows.append(stage(self._windows(_keyed(history), theirs), "windows"))
+                staged += [theirs, windows[-1]]
+        every = reduce(DataFrame.union, windows)
+        least = every.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        single = windows[0].join(least, ["hash_a", "hash_b"]).where("doc_id > first").select(*_KEY, "low", F.col("low").alias("high"))
+        out = stage(reduce(DataFrame.union, [*found, single]), "repeats")
+        store.drop(seen)
+        store.add(run, _merged)
+        for table in (*staged, *found):
             discard(table)
-        return found
+        return out
 
     def _windows(self, docs: DataFrame, ranges: DataFrame) -> DataFrame:
-        lists = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("r")).select("doc_id", "r.low", "r.high")
-        read = docs.where(_maybe(docs, ranges, "doc_id"))
-        return read.join(lists, "doc_id").select("doc_id", "text", "low", "high").mapInArrow(_window_hashes(self.window), "hash_a long, hash_b long, doc_id long, low int")
+        lists = ranges.groupBy(*_KEY).agg(F.collect_list(F.struct("low", "high")).alias("r"))
+        read = docs.where(_maybe(docs, ranges, *_KEY)).join(lists, _KEY).select(*_KEY, "text", "r")
+        return read.mapInArrow(_window_hashes(self.window), "hash_a long, hash_b long, doc_id long, version int, low int")
 
 
 def remove_repeats(
@@ -360,13 +341,13 @@ def remove_repeats(
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
         found.append(index.absorb(part, given.where(F.col("doc_id") <= low) if low is not None else None))
-    index.close()
-    ranges = stage(reduce(DataFrame.union, found), "ranges")
+    index.store.delete()
+    rows = _keyed(given)
+    lists = stage(reduce(DataFrame.union, found).groupBy(*_KEY).agg(F.collect_set(F.struct("low", "high")).alias("r")), "ranges")
     for part in found:
         discard(part)
-    hit = _maybe(given, ranges, "doc_id")
-    lists = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("r")).select("doc_id", "r.low", "r.high")
+    hit = _maybe(rows, lists, *_KEY)
     shape = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    clean = given.where(~hit).mapInArrow(_cleaned(window, keep_text), shape)
-    cut = given.where(hit).join(lists, "doc_id", "left").select("doc_id", "text", "low", "high").mapInArrow(_cleaned(window, keep_text), shape)
+    clean = rows.where(~hit).mapInArrow(_cleaned(window, keep_text), shape)
+    cut = rows.where(hit).join(lists, _KEY, "left").select(*_KEY, "text", "r").mapInArrow(_cleaned(window, keep_text), shape)
     return clean.union(cut)
