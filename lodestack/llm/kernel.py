@@ -83,6 +83,18 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def parts(text: Text, size: int, over: int) -> Iterator[tuple[Text, int]]:
+    """A slice, and how many of its bytes count: all of them, but of a single document of more than ``size`` bytes, parts
+    of that size, each followed by ``over`` bytes of the next."""
+    n = len(text.data)
+    if len(text) != 1 or n <= size:
+        yield text, n
+        return
+    for at in range(0, n, size):
+        data = text.data[at : at + size + over]
+        yield Text(data, np.array([0, len(data)]), text.first), min(size, n - at)
+
+
 @dataclass
 class Words:
     """Words in text order: byte range, document (row in the slice), and each document's first word."""

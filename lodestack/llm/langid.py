@@ -20,7 +20,6 @@ languages the first by code point is taken; repeated rows teach, and are answere
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,10 @@ UNDETERMINED = "und"
 _SLOTS = (256, 4096, 16384)
 _FEATURES = sum(_SLOTS)
 _SLICE = 1 << 18
-#: Texts decoded at once.
-_ROWS = 1 << 12
+#: Bytes of a long text whose grams are weighed at once.
+_PART = 1 << 20
+#: Numbers in the products of texts, languages and bits that are held at once.
+_CELLS = 1 << 21
 _SHAPE = "lang_pred string, score double, ambiguous boolean, distance double"
 #: Bytes of text whose margins count in full.
 EVIDENCE = 60
@@ -58,11 +59,13 @@ def _grams(text: K.Text) -> list[np.ndarray]:
 
 
 def _has_letter(text: K.Text) -> np.ndarray:
-    low = K.lowered(text.data)
-    out = K.per_doc((low >= 97) & (low <= 122), text.offsets) > 0
-    for i in np.flatnonzero(~out & (K.per_doc(text.data >= 128, text.offsets) > 0)):
-        raw = text.data[text.offsets[i] : text.offsets[i + 1]].tobytes().decode("utf-8", "replace")
-        out[i] = any(c.isalpha() for c in raw)
+    out = np.zeros(len(text), bool)
+    for part, _ in K.parts(text, _PART, 0):
+        low = K.lowered(part.data)
+        out |= K.per_doc((low >= 97) & (low <= 122), part.offsets) > 0
+        for i in np.flatnonzero(~out & (K.per_doc(part.data >= 128, part.offsets) > 0)):
+            raw = part.data[part.offsets[i] : part.offsets[i + 1]].tobytes().decode("utf-8", "replace")
+            out[i] = any(c.isalpha() for c in raw)
     return out
 
 
@@ -73,9 +76,10 @@ def _count(batches):
         names, rows = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         totals = np.zeros((len(names), _FEATURES + 1), np.int64)
         for text in K.slices(batch.column(0), _SLICE):
-            shift = np.repeat(rows[text.first : text.first + len(text)].astype(np.intp), np.diff(text.offsets)) * (_FEATURES + 1)
-            for slot in _grams(text):
-                totals += np.bincount(slot + shift, minlength=totals.size).reshape(totals.shape)
+            for part, own in K.parts(text, _PART, 2):
+                shift = np.repeat(rows[part.first : part.first + len(part)].astype(np.intp), np.diff(part.offsets))[:own] * (_FEATURES + 1)
+                for slot in _grams(part):
+                    totals += np.bincount(slot[:own] + shift, minlength=totals.size).reshape(totals.shape)
         for name, row in zip(names, totals, strict=True):
             have = counts.setdefault(name, np.zeros(_FEATURES, np.int64))
             have += row[:-1]
@@ -99,7 +103,7 @@ def codewords(k: int, seed: int = 0) -> np.ndarray:
     for _ in range(200):
         code = rng.choice([-1.0, 1.0], (k, width))
         code = code[:, np.abs(code.sum(0)) < k]
-        gap = min(int((code[a] != code[b]).sum()) for a, b in combinations(range(k), 2))
+        gap = int((code.shape[1] - (code @ code.T)[np.triu_indices(k, 1)].max()) / 2)
         if gap > best_gap:
             best, best_gap = code, gap
     return best
@@ -118,26 +122,22 @@ class LanguageModel:
 
     @staticmethod
     def fit(
-        labelled: DataFrame, text: str = "text", lang: str = "lang", max_langs: int = 200, margin: float = 0.2
+        labelled: DataFrame, text: str = "text", lang: str = "lang", margin: float = 0.2
     ) -> LanguageModel:
-        """Learn from the text and language of all rows; the driver gets one vector for each language.
-
-        ``max_langs`` bounds those vectors; more languages raise ValueError.
-        """
+        """Learn from the text and language of all rows; the driver gets one vector of 166 kB for each language."""
         counts = (
-            labelled.where(F.col(lang).isNotNull())
-            .select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+            labelled.where(F.col(f"`{lang}`").isNotNull())
+            .select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
             .mapInArrow(_count, "lang string, feature int, n long")
             .groupBy("lang", "feature")
             .agg(F.sum("n").alias("n"))
         )
         table: dict[str, np.ndarray] = {}
-        for row in counts.toLocalIterator():
-            if row.lang not in table:
-                if len(table) == max_langs:
-                    raise ValueError(f"more than {max_langs} languages")
-                table[row.lang] = np.zeros(_FEATURES)
-            table[row.lang][row.feature] = row.n
+        lists = counts.groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("c")).select("lang", "c.feature", "c.n")
+        for row in lists.toArrow().to_batches(max_chunksize=16):
+            for name, feature, n in zip(*row.columns, strict=True):
+                vector = table.setdefault(name.as_py(), np.zeros(_FEATURES))
+                vector[feature.values.to_numpy(zero_copy_only=False)] = n.values.to_numpy(zero_copy_only=False)
         langs = sorted(table)
         code = codewords(len(langs))
         if not langs:
@@ -176,19 +176,21 @@ class LanguageModel:
         for text in K.slices(column, _SLICE):
             totals = np.zeros((len(text), self.weights.shape[1]))
             size = np.diff(text.offsets)
-            full = np.flatnonzero(size)
-            if len(full):
-                one, two, three = _grams(text)
-                sums = self.weights[one]
-                sums += self.weights[two]
-                sums += self.weights[three]
-                totals[full] = np.add.reduceat(sums, text.offsets[full], axis=0, dtype=np.float64)
+            for part, own in K.parts(text, _PART, 2):
+                full = np.flatnonzero(np.diff(part.offsets))
+                if len(full):
+                    one, two, three = (slot[:own] for slot in _grams(part))
+                    sums = self.weights[one]
+                    sums += self.weights[two]
+                    sums += self.weights[three]
+                    totals[full] += np.add.reduceat(sums, part.offsets[full], axis=0, dtype=np.float64)
             means = totals / np.maximum(size, 1)[:, None]
             totals = means * np.minimum(size, EVIDENCE)[:, None]
             named = _has_letter(text) & bool(self.langs)
             best, like, apart = np.zeros(len(text), int), np.zeros((len(text), 2)), np.zeros(len(text))
-            for low in range(0, len(text) if self.langs else 0, _ROWS):  # bounds rows times languages times bits
-                part = slice(low, low + _ROWS)
+            rows = max(1, _CELLS // max(1, self.code.size))
+            for low in range(0, len(text) if self.langs else 0, rows):
+                part = slice(low, low + rows)
                 best[part], like[part] = self.decode(totals[part])
                 apart[part] = self.distance(means[part], best[part])
             names += [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best, named, strict=True)]
@@ -211,5 +213,5 @@ class LanguageModel:
 
         found = fresh_name(docs, "found")
         kept = without(docs, "lang_pred", "score", "ambiguous", "distance")
-        given = docs.withColumn(found, predicted(F.col(text).cast("string")))
+        given = docs.withColumn(found, predicted(F.col(f"`{text}`").cast("string")))
         return given.select(*[F.col(f"`{c}`") for c in kept.columns], f"{found}.*")

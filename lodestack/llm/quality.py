@@ -188,17 +188,15 @@ class QualityRules:
     max_word_distance: float = 0.4
 
     @staticmethod
-    def fit(docs: DataFrame, text: str = "text", lang: str = "lang", common_share: float = 0.005, max_langs: int = 200, **limits) -> QualityRules:
-        """References from all rows with a language; more than ``max_langs`` languages raise ValueError."""
+    def fit(docs: DataFrame, text: str = "text", lang: str = "lang", common_share: float = 0.005, **limits) -> QualityRules:
+        """References from all rows with a language; the driver gets a vector of the vocabulary's size for each language."""
         given = docs.where(F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
         named = given.mapInArrow(_named_words(common_share), "lang string, word long, n long, units long")
         counts = stage(named.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("units").alias("units")), "words")
-        sizes = {r.lang: r.n for r in counts.where("word is null").limit(max_langs + 1).collect()}
-        if len(sizes) > max_langs:
-            raise ValueError(f"more than {max_langs} languages")
-        all_ = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")] if sizes else F.lit(0)
-        most = F.col("n") + F.lit(common_share / 2) * (all_ - F.col("units"))
-        likely = counts.where(F.col("word").isNotNull() & (most >= common_share * all_ - 1e-6)).select("word").distinct().toArrow()
+        sizes = counts.where("word is null").select("lang", F.col("n").alias("all"))
+        most = F.col("n") + F.lit(common_share / 2) * (F.col("all") - F.col("units"))
+        known = counts.where("word is not null").join(F.broadcast(sizes), "lang")  # a row for each language
+        likely = known.where(most >= common_share * F.col("all") - 1e-6).select("word").distinct().toArrow()
         discard(counts)
         words = np.unique(likely["word"].to_numpy().view(np.uint64))
         width = _CLASSES + len(words) + 1
@@ -231,11 +229,13 @@ class QualityRules:
                 own = slice(w.first[low], w.first[high])
                 found = _grouped(w.doc[own] - low, slots[own], high - low, len(self.vocabulary) + 1)
                 share = lambda x: x / np.maximum(x.sum(1, keepdims=True), 1)
-                by_char = js_distance(share(chars)[:, None], self.char_reference[None])
-                by_word = js_distance(share(found)[:, None], self.word_reference[None])
-                nearest = (by_char + by_word).argmin(1)
-                row = np.arange(high - low)
-                char[low:high], word[low:high] = by_char[row, nearest], by_word[row, nearest]
+                chars, found = share(chars), share(found)
+                least = np.full(high - low, np.inf)
+                for k in range(len(self.langs)):  # one language at a time, so memory doesn't grow with their number
+                    by_char, by_word = js_distance(chars, self.char_reference[k]), js_distance(found, self.word_reference[k])
+                    near = by_char + by_word < least
+                    least[near] = (by_char + by_word)[near]
+                    char[low:high][near], word[low:high][near] = by_char[near], by_word[near]
             far = (n >= self.min_words) & ((char > self.max_char_distance) | (word > self.max_word_distance))
             parts.append([*counts, failed, ~failed & ~far, char, word])
         names = [f.split()[0] for f in _SHAPE.split(", ")]
