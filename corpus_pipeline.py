@@ -45,13 +45,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each component similar on 5-word shingles.
+    """Keep one document of each component similar on 5-word shingles: the one of least id.
 
-    Rows of one id are one document and stay or go together; rows with a null id and texts without words
-    stay.
+    Rows of one id with different texts are documents of their own; equal rows stay or go together. Rows with a null id
+    and texts without words stay.
     """
-    surplus = near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
+    surplus = near_duplicates(docs, shingle=5, percent=80).where("not head")
+    key, version = fresh_name(docs, "surplus_id"), fresh_name(docs, "surplus_version")
+    gone = surplus.select(F.col("doc_id").alias(key), F.col("version").alias(version)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(key)) & (F.hash("text") == F.col(version)), "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

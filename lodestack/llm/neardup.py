@@ -28,8 +28,8 @@ method.
 
 Null text, empty text and text without words have no shingles and are linked with nothing. Rows
 with a null id cannot be named as anyone's partner and are returned as kept, without component.
-Every repeated row is returned; of one id with several texts the least text stands for all in comparisons. A
-table without rows gives none.
+Every repeated row is returned. Rows of one id with different texts are documents of their own: each has the component
+of its own text, named by the least id in it (which two components may share then). A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -99,13 +99,13 @@ def _profiles(size: int):
                 steps = pa.array(np.arange(len(text) + 1, dtype=np.int32) * COORDINATES)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(text.first, len(text)),
+                        *(batch.column(k).slice(text.first, len(text)) for k in (0, 2)),
                         pa.array(n.astype(np.int64)),
                         pa.array(keys[0].view(np.int64)),
                         pa.array(keys[1].view(np.int64)),
                         pa.ListArray.from_arrays(steps, flat),
                     ],
-                    names=["doc_id", "n", "key_a", "key_b", "signature"],
+                    names=["doc_id", "version", "n", "key_a", "key_b", "signature"],
                 )
 
     return run
@@ -129,7 +129,7 @@ def _shingles(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = batch.column(1).to_numpy()
+        sizes = np.array([len(v.as_buffer()) // 8 for v in batch.column(3)])
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _SLICE, prepend=-1))
         for low, high in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
             part = batch.slice(low, high - low)
@@ -280,19 +280,20 @@ def _between_parts(posted: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, version, head`` for every row of ``docs``.
 
     Rows are linked where 100 * |A and B| >= percent * |A or B| on their sets of ``shingle``-word
-    shingles; a component's id is its least doc_id, whose row is kept.
+    shingles; a component's id is its least doc_id, whose row is kept. ``version`` is ``hash(text)``; ``head`` marks
+    the text that stays if each component shall leave one text (of the least id, its version of least hash).
     """
-    given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    profile = "doc_id long, n long, key_a long, key_b long, signature array<int>"
+    given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("version", F.hash("text"))
+    profile = "doc_id long, version int, n long, key_a long, key_b long, signature array<int>"
     profiles = stage(given.mapInArrow(_profiles(shingle), profile), "profiles")
     named = profiles.where("n > 0 and doc_id is not null")
-    classes = stage(
-        named.groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")),
-        "classes",
-    )
+    first_of = F.min(F.struct("doc_id", "version")).alias("first")
+    grouped = named.groupBy("key_a", "key_b", "n").agg(first_of, F.first("signature").alias("signature"))
+    # classes are numbered; the numbers hold once the table is written
+    classes = stage(grouped.select(F.monotonically_increasing_id().alias("rep"), "*"), "classes")
     key = (F.col("pos").cast("long") * (1 << 32)) + (F.col("value").cast("long") + (1 << 31))
     posts = classes.select("rep", "n", F.posexplode("signature").alias("pos", "value")).select("rep", "n", key.alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
@@ -306,11 +307,10 @@ def near_duplicates(
         .select("key", "rep", "n"),
         "prefix",
     )
-    wanted = prefix.select("rep").distinct()
-    sets = stage(
-        given.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")).select("rep", "text").mapInArrow(_sets(shingle), "rep long, hashes binary"),
-        "sets",
-    )
+    wanted = classes.join(prefix.select("rep").distinct(), "rep", "left_semi").select("rep", "first.doc_id", "first.version")
+    # equal rows count once
+    texts = given.join(wanted, ["doc_id", "version"]).groupBy("doc_id", "version", "rep").agg(F.min("text").alias("text"))
+    sets = stage(texts.select("rep", "text").mapInArrow(_sets(shingle), "rep long, hashes binary"), "sets")
     confirm = _Verifier(classes, sets, percent)
     fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & F.col("place").isNull()
     first = prefix.select("key", "rep", "n", F.col("rep").alias("part"), F.lit(None).cast("int").alias("place"))
@@ -328,19 +328,22 @@ def near_duplicates(
     parts = connected_components(links.union(met).union(last), "a", "b")
     for table in (prefix, sets, tried, links, posted, now, again, met, rest, last):
         discard(table)
-    of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key_a", "key_b", "n", F.coalesce("component", "rep").alias("component_id")
-    )
-    bare = profiles.select("doc_id", "n", "key_a", "key_b")
-    linked = bare.where("n > 0 and doc_id is not null").join(of_class, ["key_a", "key_b", "n"]).select("doc_id", "n", "component_id")
-    alone = bare.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    lone = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", "n", "first", "component")
+    lone = stage(lone, "components")
+    heads = lone.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
+    of_class = lone.join(heads, "component", "left").select("key_a", "key_b", "n", F.coalesce("head", "first").alias("head"))
+    bare = profiles.select("doc_id", "version", "n", "key_a", "key_b")
+    linked = bare.where("n > 0 and doc_id is not null").join(of_class, ["key_a", "key_b", "n"]).select("doc_id", "version", "n", "head")
+    alone = bare.where("n = 0 or doc_id is null").select("doc_id", "version", "n", F.struct("doc_id", "version").alias("head"))
     found = linked.union(alone).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        "component_id",
-        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        F.col("head.doc_id").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.col("head.doc_id"), F.lit(True)).alias("kept"),
+        "version",
+        F.coalesce((F.col("doc_id") == F.col("head.doc_id")) & (F.col("version") == F.col("head.version")), F.lit(True)).alias("head"),
     )
     out = stage(found, "near-duplicates")
-    for table in (profiles, classes, parts):
+    for table in (profiles, classes, parts, lone):
         discard(table)
     return out
