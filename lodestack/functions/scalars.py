@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +143,11 @@ def word_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used, also for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def n_grams(words: Column, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` words, joined by spaces."""
     n = F.size(words)
