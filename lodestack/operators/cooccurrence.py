@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Items of a document that are paired in one row.
+LARGE = 512
+
 WEIGHTS = {
     "full": lambda n: F.lit(1.0),
     "pair": lambda n: 2.0 / (n * (n - 1)),
@@ -16,7 +19,8 @@ WEIGHTS = {
 def document_pairs(items: DataFrame, doc: str, item: str, *keep: str, max_items: int | None = None) -> DataFrame:
     """Unordered pairs ``a < b`` of distinct items of each document, with its item count ``n``.
 
-    Items are gathered once per document and paired inside the row, so the pairs need no self-join.
+    Items are gathered once per document and paired inside the row, so the pairs need no self-join. Documents of more than
+    ``LARGE`` items are cut into runs of that many; pairs of runs are dealt out to different tasks.
     ``max_items`` leaves out documents with more items, as a choice of the caller; null items count
     for nothing.
     """
@@ -24,8 +28,15 @@ def document_pairs(items: DataFrame, doc: str, item: str, *keep: str, max_items:
     sets = sets.withColumn("n", F.size("s")).where("n >= 2")
     if max_items is not None:
         sets = sets.where(F.col("n") <= max_items)
-    first = sets.select(doc, *keep, "n", "s", F.posexplode_outer("s").alias("i", "a"))
-    return first.select(doc, *keep, "n", "a", F.explode_outer(F.slice("s", F.col("i") + 2, F.col("n"))).alias("b")).where("b is not null")
+    first = sets.where(F.col("n") <= LARGE).select(doc, *keep, "n", "s", F.posexplode_outer("s").alias("i", "a"))
+    small = first.select(doc, *keep, "n", "a", F.explode_outer(F.slice("s", F.col("i") + 2, F.col("n"))).alias("b")).where("b is not null")
+    last = F.floor((F.col("n") - 1) / LARGE).cast("int")
+    run = lambda k: F.slice("s", F.col(k) * LARGE + 1, F.lit(LARGE))
+    left = sets.where(F.col("n") > LARGE).select(doc, *keep, "n", "s", F.explode(F.sequence(F.lit(0), last)).alias("p"))
+    both = left.select(doc, *keep, "n", "p", "s", F.explode(F.sequence("p", last)).alias("q")).select(doc, *keep, "n", "p", "q", run("p").alias("x"), run("q").alias("y"))
+    each = both.repartition(doc, "p", "q").select(doc, *keep, "n", "y", F.explode("x").alias("a"))
+    large = each.select(doc, *keep, "n", "a", F.explode("y").alias("b")).where("a < b")
+    return small.union(large)
 
 
 def weighted_edges(pairs: DataFrame, doc: str, year: str, weight: str | Column = "pair") -> DataFrame:

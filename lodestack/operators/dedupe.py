@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -16,10 +16,16 @@ from .filters import clean_full_text, is_front_matter
 
 
 def best_per_key(rows: DataFrame, keys: Sequence[Column | str], score: Sequence[Column], order: Column | str) -> DataFrame:
-    """The row of highest score for each key; the first in ``order`` among equals."""
-    keyed = rows.withColumns({f"__k{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(keys)})
-    window = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy(*[s.desc() for s in score], order)
-    return keyed.withColumn("__r", F.row_number().over(window)).where("__r = 1").select(*rows.columns)
+    """The row of highest (numeric) score for each key; the first in ``order`` among equals.
+
+    An aggregate: each task passes on one row of a key, so a key that many rows share meets in few.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    keyed = rows.withColumns({n: F.col(k) if isinstance(k, str) else k for n, k in zip(names, keys, strict=True)})
+    parts = [x for s in score for x in (s.isNull(), -s)] + [F.col(order) if isinstance(order, str) else order]
+    place = F.struct(*[x.alias(f"o{i}") for i, x in enumerate(parts)])
+    best = keyed.groupBy(*names).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), place).alias("__best"))
+    return best.select("__best.*")
 
 
 def first_per_key(rows: DataFrame, key: Column, order: Column | str) -> DataFrame:
@@ -66,21 +72,40 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def far_by_length(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two titles are unlike by their lengths and characters alone.
+
+    Matching characters are at most those that both have, so the ratio of twice their number to both lengths bounds the
+    similarity of titles of which neither contains the other.
+    """
+    letters = F.array_distinct(F.split(F.concat(a, b), ""))
+    count = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    common = F.aggregate(F.filter(letters, lambda c: c != ""), F.lit(0), lambda s, c: s + F.least(count(a, c), count(b, c)))
+    bound = 2 * common / F.greatest(F.length(a) + F.length(b), F.lit(1))
+    return ~F.contains(a, b) & ~F.contains(b, a) & (bound < threshold)
+
+
 def clear_ambiguous_dois(rows: DataFrame, row_id: str, doi: str, title: str, source: str, sources: Sequence[str], threshold: float = 0.88) -> DataFrame:
     """Blank the DOI of ``sources``' rows wherever a DOI stands on two unlike titles.
 
-    Distinct titles of a DOI are first compared with its least title, so a DOI on very many rows costs
-    one comparison for each title. Only where all are like that one, all pairs are compared.
+    Distinct titles of a DOI are compared with its least and its shortest title first: by lengths and characters, then by matching
+    runs. A DOI with an unlike pair is settled by one comparison for each title. Where all are like those, the rest of the pairs are
+    compared, spread over tasks by pair.
     """
     keyed = rows.withColumn("__doi", F.nullif(normal_doi(F.col(doi)), F.lit(""))).withColumn("__t", normal_title(F.col(title)))
     titles = keyed.where("__doi is not null").select("__doi", "__t").distinct()
-    least = titles.groupBy("__doi").agg(F.min("__t").alias("__m"), F.count("*").alias("__n")).where("__n > 1")
-    first = stage(titles.join(least, "__doi").withColumn("__far", title_similarity("__t", "__m") < threshold).select("__doi", "__t", "__far"), "titles")
+    ends = titles.groupBy("__doi").agg(F.min("__t").alias("__m"), F.min_by("__t", F.struct(F.length("__t"), "__t")).alias("__s"), F.count("*").alias("__n")).where("__n > 1")
+    far = lambda a, b: far_by_length(F.col(a), F.col(b), threshold)
+    quick = stage(titles.join(ends, "__doi").select("__doi", "__t", "__m", (far("__t", "__m") | far("__t", "__s")).alias("__far")), "titles")
+    sure = quick.groupBy("__doi").agg(F.max("__far").alias("__far"))
+    left = quick.join(sure.where("not __far").select("__doi"), "__doi", "left_semi")
+    first = stage(left.select("__doi", "__t", (title_similarity("__t", "__m") < threshold).alias("__far")), "titles")
     found = first.groupBy("__doi").agg(F.max("__far").alias("__far"))
     open_ = first.join(found.where("not __far").select("__doi"), "__doi", "left_semi")
     pairs = open_.select("__doi", "__t").join(open_.select("__doi", F.col("__t").alias("__m")), "__doi").where("__t < __m")
-    later = pairs.where(title_similarity("__t", "__m") < threshold).select("__doi")
-    unlike = found.where("__far").select("__doi").union(later).distinct().withColumn("__bad", F.lit(True))
+    close = pairs.where(~far("__t", "__m")).repartition("__doi", "__t")
+    later = pairs.where(far("__t", "__m")).select("__doi").union(close.where(title_similarity("__t", "__m") < threshold).select("__doi"))
+    unlike = sure.where("__far").select("__doi").union(found.where("__far").select("__doi")).union(later).distinct().withColumn("__bad", F.lit(True))
     out = keyed.join(unlike, "__doi", "left").withColumn(doi, F.when(F.col("__bad") & F.col(source).isin(*sources), "").otherwise(F.col(doi)))
     return out.select(*rows.columns)
 
