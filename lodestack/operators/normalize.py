@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_year, normal_doi, squeezed, without_markup
+from .dedupe import best_per_key
 
 TEXTS = "array<string>"
 
@@ -107,11 +108,11 @@ SOURCES: dict[str, Callable[[Column], dict[str, Column]]] = {
 }
 
 
-def normal_papers(wrappers: DataFrame) -> DataFrame:
+def normal_papers(wrappers: DataFrame, *keep: str) -> DataFrame:
     """``source, source_id, paper_id, title, abstract, authors, year, keywords, field, doi, invalid`` of wrapper rows.
 
     Rows of unknown sources, and rows without id and title, are invalid. Keywords are lower-cased with
-    hyphens as spaces; a field that is not given comes from the wrapper's seed, else ``unknown``.
+    hyphens as spaces; a field that is not given comes from the wrapper's seed, else ``unknown``. Columns to ``keep`` come along.
     """
     raw = F.col("raw")
     names = ["paper_id", "title", "abstract", "year", "authors", "keywords", "field"]
@@ -125,7 +126,7 @@ def normal_papers(wrappers: DataFrame) -> DataFrame:
         "source", "source_id", picked["paper_id"].alias("paper_id"), without_markup(picked["title"]).alias("title"),
         squeezed(without_markup(F.coalesce(picked["abstract"], F.lit("")))).alias("abstract"), F.coalesce(picked["authors"], empty).alias("authors"),
         first_year(picked["year"]).alias("year"), F.transform(F.coalesce(picked["keywords"], empty), lambda k: F.replace(F.lower(F.trim(k)), F.lit("-"), F.lit(" "))).alias("keywords"),
-        F.coalesce(F.lower(picked["field"]), seed, F.lit("unknown")).alias("field"), normal_doi(text_at(raw, "$.doi", "$.DOI")).alias("doi"),
+        F.coalesce(F.lower(picked["field"]), seed, F.lit("unknown")).alias("field"), normal_doi(text_at(raw, "$.doi", "$.DOI")).alias("doi"), *keep,
     )
     known = F.col("source").isin(*SOURCES)
     return rows.withColumn("invalid", ~F.coalesce(known, F.lit(False)) | (F.col("paper_id").isNull() & F.col("title").isNull()))
@@ -172,3 +173,76 @@ def authorships(raw: Column) -> Column:
 
     listed = F.from_json(F.get_json_object(raw, "$.authorships"), _AUTHORSHIP)
     return F.coalesce(F.filter(F.transform(listed, entry), lambda a: a["display_name"] != ""), F.array())
+
+
+def author_entries(structured: Column, names: Column) -> Column:
+    """A paper's authors in order with key and where it comes from: of its ``authorships``, else of its plain ``names``.
+
+    The key is the author's id, else the ORCID, else the normalised name; authors without a name or a key are left out.
+    Names stand in only where there are no structured authorships at all.
+    """
+    key_of = lambda name: F.nullif(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), F.lit(""))
+    named = lambda name: F.concat(F.lit("name:"), key_of(name))
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    none = F.array().cast(TEXTS)
+
+    def entry(key, author, author_id, raw, orcid, position, role, corresponding, lists, source):
+        texts = {"author_key": key, "author": author, "author_id": author_id, "raw_author_name": raw, "orcid": orcid}
+        columns = [F.coalesce(c, F.lit("")).alias(n) for n, c in texts.items()]
+        columns += [position.cast("int").alias("author_position"), F.coalesce(role, F.lit("")).alias("author_role"), corresponding.alias("is_corresponding")]
+        columns += [F.coalesce(c, none).alias(n) for n, c in zip(("institution_ids", "institutions", "country_codes", "raw_affiliation_strings"), lists, strict=True)]
+        return F.struct(*columns, source.alias("identity_source"))
+
+    def of_structure(a: Column) -> Column:
+        author_id, orcid, name = filled(a["author_id"]), filled(a["orcid"]), filled(a["display_name"])
+        source = F.when(author_id.isNotNull(), "author_id").when(orcid.isNotNull(), "orcid").otherwise("name")
+        lists = [a[n] for n in ("institution_ids", "institutions", "country_codes", "raw_affiliation_strings")]
+        raw = F.coalesce(filled(a["raw_author_name"]), name)
+        return entry(F.coalesce(author_id, orcid, named(name)), name, author_id, raw, orcid, a["author_position_index"], a["author_position"], a["is_corresponding"], lists, source)
+
+    def of_name(name: Column, i: Column) -> Column:
+        plain = filled(name)
+        return entry(named(plain), plain, F.lit(""), plain, F.lit(""), i + 1, F.lit(""), F.lit(False), [none] * 4, F.lit("name"))
+
+    known = lambda entries: F.filter(entries, lambda e: (e["author"] != "") & (e["author_key"] != ""))
+    fallback = known(F.transform(F.coalesce(names, none), of_name))
+    return F.when(F.size(F.coalesce(structured, F.array())) > 0, known(F.transform(structured, of_structure))).otherwise(fallback)
+
+
+#: A summary record of the open-access archive, as its service gives it.
+SUMMARY = "struct<uid: string, title: string, pubdate: string, fulljournalname: string, articleids: array<struct<idtype: string, value: string>>, authors: array<struct<name: string>>>"
+
+
+def summary_records(record: Column) -> Column:
+    """A summary record (``SUMMARY``) as a wrapper's ``source_id`` and ``raw`` payload, a JSON text.
+
+    Of several identifiers of one type the last counts. The record's id is its archive number, else its uid, always with
+    the archive's prefix; the year is the first 19xx or 20xx of its date.
+    """
+    ids = F.coalesce(record["articleids"], F.array())
+    last = lambda kind: F.get(F.reverse(F.transform(F.filter(ids, lambda i: F.lower(i["idtype"]) == kind), lambda i: F.trim(F.coalesce(i["value"], F.lit(""))))), 0)
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    given = F.coalesce(F.nullif(last("pmc"), F.lit("")), F.nullif(last("pmcid"), F.lit("")), F.concat(F.lit("PMC"), blank(record["uid"])))
+    number = F.when(given.startswith("PMC"), given).otherwise(F.concat(F.lit("PMC"), given))
+    raw = F.to_json(F.struct(
+        number.alias("pmcid"), blank(record["title"]).alias("title"), F.lit("").alias("abstract"),
+        F.transform(F.coalesce(record["authors"], F.array()), lambda a: F.trim(blank(a["name"]))).alias("authors"),
+        F.regexp_extract(blank(record["pubdate"]), "((?:19|20)[0-9]{2})", 1).alias("year"), F.array(blank(record["fulljournalname"])).alias("keywords"),
+        blank(record["fulljournalname"]).alias("journal"), blank(last("doi")).alias("doi"), F.lit("").alias("body_excerpt"),
+    ))
+    return F.struct(number.alias("source_id"), raw.alias("raw"))
+
+
+def normalize_job(wrappers: DataFrame, path: str, order: str = "line_order") -> dict[str, int]:
+    """Write the normalised papers of ``wrappers`` to ``path``, one of each id (of each title and year where there is none): the
+    first by file and ``order``. Gives how many records came in, went out, were duplicates or invalid.
+
+    The counts are observed in the pass that writes, so they cost no second scan.
+    """
+    came, went = Observation("came"), Observation("went")
+    papers = normal_papers(wrappers, "raw_file", order).observe(came, F.count("*").alias("input"), F.count_if("invalid").alias("invalid"))
+    key = F.coalesce(F.nullif("paper_id", F.lit("")), F.concat(F.coalesce("title", F.lit("")), F.lit("::"), F.coalesce(F.col("year").cast("string"), F.lit(""))))
+    kept = best_per_key(papers.where("not invalid"), [key], [], F.struct("raw_file", order)).drop("raw_file", order, "invalid")
+    kept.observe(went, F.count("*").alias("output")).write.mode("overwrite").parquet(path)
+    counts = came.get | went.get
+    return {"input": counts["input"], "output": counts["output"], "duplicates": counts["input"] - counts["invalid"] - counts["output"], "invalid": counts["invalid"]}

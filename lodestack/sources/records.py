@@ -12,16 +12,30 @@ from pyspark.sql import functions as F
 WRAPPER = "source string, source_id string, query string, field_seed string, crawled_at string, raw string"
 
 
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*") -> DataFrame:
+    """``value, raw_file, line_number``: the lines of text files, numbered from 1 within their file.
+
+    Lines are counted in each part of a file that a task reads; the counts of the parts before it, one row a part, are
+    broadcast. So the numbers are the same however files are split.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).text(paths if isinstance(paths, str) else list(paths))
+    part = ["raw_file", "part"]
+    placed = lines.select("value", F.col("_metadata.file_path").alias("raw_file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
+    parts = placed.groupBy(*part).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("raw_file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(*part, (before - F.col("first") + 1).alias("shift"))
+    return placed.join(F.broadcast(starts), part).select("value", "raw_file", (F.col("at") + F.col("shift")).alias("line_number"))
+
+
 def read_wrappers(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.jsonl") -> DataFrame:
-    """Wrapper rows with ``raw_file``, ``line_order`` and ``invalid``; blank lines are skipped.
+    """Wrapper rows with ``raw_file``, ``line_order`` (the line's number in its file) and ``invalid``; blank lines are skipped.
 
     A line that is not a JSON object with a source gives an invalid row instead of an error.
     """
-    lines = spark.read.option("pathGlobFilter", pattern).text(paths if isinstance(paths, str) else list(paths))
-    lines = lines.select("value", F.col("_metadata.file_path").alias("raw_file"), F.monotonically_increasing_id().alias("line_order")).where(F.trim("value") != "")
+    lines = numbered_lines(spark, paths, pattern).where(F.trim("value") != "")
     part = lambda name: F.get_json_object("value", f"$.{name}")
     names = [f.split()[0] for f in WRAPPER.split(", ")]
-    rows = lines.select("raw_file", "line_order", *[part(n).alias(n) for n in names])
+    rows = lines.select("raw_file", F.col("line_number").alias("line_order"), *[part(n).alias(n) for n in names])
     return rows.withColumn("invalid", F.col("source").isNull() | F.col("raw").isNull())
 
 
