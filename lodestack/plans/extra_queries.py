@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import scalars as sc
 from ..operators import dedupe as dd
 from ..operators import graph as gr
+from ..operators import paths
 from ..operators import search as se
 from ..operators import textstats as ts
+from ..operators import topics as tp
 from ..operators.components import connected_components
 from ..sources import records
 from ..storage import new_path, stage
@@ -186,7 +189,16 @@ def str07(spark, sf_dir):
 
 @query("mod04_nmf_topics")
 def mod04(spark, sf_dir):
-    return ts.nmf_topics(ts.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text", 1, 1))
+    return _factors(spark, sf_dir).words(8)
+
+
+def _factors(spark, sf_dir):
+    return tp.Factors.fit(*tp.tf_idf_rows(table(spark, sf_dir, "documents"), "doc_id", "text", stop=C.TERM_STOP), 4)
+
+
+@query("mod04_paper_topics")
+def mod04_papers(spark, sf_dir):
+    return _factors(spark, sf_dir).topics()
 
 
 @query("gra13_component_slices")
@@ -199,7 +211,9 @@ def gra13(spark, sf_dir):
 def gra14(spark, sf_dir):
     edges = stage(bq.keyword_edges(spark, sf_dir), "edges")
     model = bq.trend_model(spark, sf_dir).select("keyword", "momentum", "lifecycle_stage", "hotness")
-    measures = gr.weighted_degree(edges).join(gr.page_rank(edges).select("node", F.round("rank", 6).alias("page_rank")), "node").withColumnRenamed("node", "keyword")
+    measures = gr.weighted_degree(edges).join(gr.page_rank(edges).select("node", F.round("rank", 6).alias("page_rank")), "node")
+    measures = measures.join(paths.weighted_betweenness(edges).select("node", F.round("betweenness", 6).alias("betweenness")), "node")
+    measures = measures.join(gr.communities(edges), "node", "left").withColumnRenamed("node", "keyword")
     return model.join(measures, "keyword", "full_outer")
 
 

@@ -52,11 +52,11 @@ def gra01(spark, sf_dir):
 
 
 _RANKS = "".join(
-    f", r{k} AS (SELECT l.other AS node, 0.15 / any_value(n) + 0.85 * sum(r.rank * l.weight / o.out) AS rank FROM both_ways l JOIN outs o ON o.node = l.node JOIN r{k - 1} r ON r.node = l.node, nn GROUP BY l.other)" for k in range(1, 11)
+    f", r{k} AS (SELECT l.other AS node, 0.15 / any_value(n) + 0.85 * sum(r.rank * l.weight / o.out) AS rank FROM both_ways l JOIN outs o ON o.node = l.node JOIN r{k - 1} r ON r.node = l.node, nn GROUP BY l.other)" for k in range(1, 31)
 )
 
 
-@query("gra02_page_rank", W + PAIRS + EDGES + BOTH + ", outs AS (SELECT node, sum(weight) AS out FROM both_ways GROUP BY node), nn AS (SELECT count(*) AS n FROM outs), r0 AS (SELECT node, 1.0 / n AS rank FROM outs, nn)" + _RANKS + " SELECT node, round(rank, 6) AS rank FROM r10")
+@query("gra02_page_rank", W + PAIRS + EDGES + BOTH + ", outs AS (SELECT node, sum(weight) AS out FROM both_ways GROUP BY node), nn AS (SELECT count(*) AS n FROM outs), r0 AS (SELECT node, 1.0 / n AS rank FROM outs, nn)" + _RANKS + " SELECT node, round(rank, 6) AS rank FROM r30")
 def gra02(spark, sf_dir):
     return gr.page_rank(keyword_edges(spark, sf_dir)).select("node", F.round("rank", 6).alias("rank"))
 
@@ -167,8 +167,8 @@ GRAMS3 = r"wl AS (SELECT doc_id AS doc, list_filter(regexp_extract_all(lower(tex
 
 @query("mod01_mean_tf_idf", f"WITH {GRAMS}, st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM c GROUP BY term), v AS (SELECT term, df, ln((1.0 + nd) / (1 + df)) + 1 AS idf FROM st, nd WHERE df >= 5 AND df <= 0.85 * nd ORDER BY cf DESC, term LIMIT 3000), x AS (SELECT doc, c.term, df, (1 + ln(tf)) * idf AS w FROM c JOIN v ON v.term = c.term), m AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc) SELECT term, df, round(sum(w / norm) / any_value(nd), 6) AS score FROM x JOIN m ON m.doc = x.doc, nd GROUP BY term, df ORDER BY score DESC, term LIMIT 120")
 def mod01(spark, sf_dir):
-    n = table(spark, sf_dir, "documents").count()
-    return ts.mean_tf_idf(counts(spark, sf_dir), n)
+    docs = table(spark, sf_dir, "documents")
+    return ts.mean_tf_idf_of(docs, "doc_id", "text", docs.count())
 
 
 @query("mod02_simple_tf_idf", f"WITH {GRAMS3} SELECT term, count(*) AS df, round(sum(tf / n_terms) * (ln((any_value(nd) + 1.0) / (count(*) + 1)) + 1), 6) AS score FROM c, nd GROUP BY term ORDER BY score DESC, term LIMIT 120")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basket_queries, extra_queries, graph_queries, report_queries, text_queries
+from . import basket_queries, extra_queries, graph_queries, report_queries, term_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (basket_queries, text_queries, graph_queries, extra_queries, report_queries)
+_MODULES = (basket_queries, text_queries, graph_queries, extra_queries, report_queries, term_queries)
 
 
 def queries() -> dict[str, Query]:
