@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cooccurrence as co
 from ..operators import trends as tr
+from ..sources import records
 from . import roles
 from .roles import BASKETS_SQL, YEAR_END, YEAR_START
 
@@ -515,7 +516,7 @@ def ret09(spark, sf_dir):
 @query("src10_quota_sample", W + """, r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM docs) SELECT doc_id, source FROM r WHERE r <= ceil(1000 / 5.0)""")
 def src10(spark, sf_dir):
     docs = roles.baskets(spark, sf_dir).select("doc_id", "source").distinct()
-    return docs.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("r <= 200").select("doc_id", "source")
+    return records.quota_sample(docs, "source", "doc_id", 1000, 5).select("doc_id", "source")
 
 
 @query("agg24_year_shares", W + "SELECT year, field, round(count(*) / sum(count(*)) OVER (PARTITION BY year), 6) AS share FROM docs GROUP BY year, field")

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import scalars as sc
+from ..operators import dedupe as dd
 from ..operators import evidence as ev
+from ..operators import expansion as ex
 from ..operators import graph as gr
-from ..operators import paths
+from ..operators import normalize, paths
+from ..operators import search as se
 from ..operators import terms as tm
 from ..operators import textstats as ts
 from ..operators import topics as tp
@@ -289,3 +292,66 @@ def str06_resumable(spark, sf_dir):
     for mark in ("first", "second"):
         done = live.resumable_vectors(spark, chunks(), path, "hashed64", encode, f"{path}/checkpoint-{mark}")
     return done.groupBy("chunk").agg(F.count("*").alias("times"), F.max(F.size("vector")).alias("size"))
+
+
+# ---- questions about parts, expanded by what is ordered together with them
+
+QUESTION_SQL = "q AS (SELECT p_partkey AS question, 'What about ' || upper(p_name) || ' or the ' || p_brand || '?' AS text FROM part WHERE p_partkey % 100 = 0)"
+
+
+@query(
+    "ret09_question_expansion",
+    "WITH " + roles.BASKETS_SQL + ", " + QUESTION_SQL + ", ids AS (SELECT DISTINCT doc_id AS paper, keyword FROM doc_names), "
+    + r"w AS (SELECT question, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM q), g AS (SELECT DISTINCT question, unnest(" + GRAMS_SQL.format("w") + ") AS low FROM w), "
+    "seeds AS (SELECT DISTINCT question, keyword FROM g JOIN (SELECT DISTINCT keyword FROM ids) k ON lower(k.keyword) = g.low), "
+    "sp AS (SELECT DISTINCT question, paper FROM seeds JOIN ids USING (keyword)), n AS (SELECT question, keyword, count(*) AS n FROM sp JOIN ids USING (paper) WHERE (question, keyword) NOT IN (SELECT question, keyword FROM seeds) GROUP BY ALL), "
+    "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY n DESC, keyword) AS INTEGER) AS rank FROM n) SELECT * FROM r WHERE rank <= 8",
+)
+def ret09_questions(spark, sf_dir):
+    asked = table(spark, sf_dir, "part").where("p_partkey % 100 = 0")
+    text = F.concat(F.lit("What about "), F.upper("p_name"), F.lit(" or the "), "p_brand", F.lit("?"))
+    papers = roles.doc_names(spark, sf_dir).select("doc_id", "keyword").distinct()
+    seeds = stage(ex.named_keywords(asked.select(F.col("p_partkey").alias("question"), text.alias("text")), "question", "text", papers, "keyword"), "seeds")
+    return ex.neighbours(seeds, papers, "doc_id", "keyword", 8)
+
+
+# ---- lines of documents as chunks, ranked by themselves, each document once
+
+CHUNK_SQL = (
+    r"WITH ch AS (SELECT doc_id * 1000000 + i - 1 AS chunk, doc_id AS paper, lines[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), range(1, len(lines) + 1) AS t(i)), "
+    r"post AS (SELECT term, doc, count(*) AS tf FROM (SELECT chunk AS doc, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM ch) GROUP BY term, doc), "
+    "terms AS" + tq.LEX.split(", terms AS", 1)[1] + ", l AS (SELECT * FROM lex WHERE rank <= 400), b AS (SELECT l.query, ch.paper, min(l.rank) AS r FROM l JOIN ch ON ch.chunk = l.doc GROUP BY ALL), "
+    "o AS (SELECT b.query, b.paper, l.doc AS chunk, l.score, CAST(row_number() OVER (PARTITION BY b.query ORDER BY b.r) AS INTEGER) AS rank FROM b JOIN l ON l.query = b.query AND l.rank = b.r) SELECT * FROM o WHERE rank <= 40"
+)
+
+
+@query("ret01_chunk_rank", CHUNK_SQL)
+def ret01_chunks(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    chunks = lines.select((F.col("doc_id") * 1_000_000 + F.col("i")).alias("chunk"), F.col("doc_id").alias("paper"), "text")
+    terms = se.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    ranked = se.lexical(se.postings(chunks, "chunk", "text", terms), terms, 400)
+    return ex.best_chunks(ranked, chunks, "chunk", "paper", 40)
+
+
+# ---- records
+
+@query("ded02_history", "SELECT source, count(*) AS n, CAST(sum(d) AS BIGINT) AS ids FROM (SELECT source, arg_min(doc_id, (-length(text), doc_id)) AS d FROM documents WHERE text IS NOT NULL GROUP BY source, split_part(text, chr(10), 1)) GROUP BY source")
+def ded02_history(spark, sf_dir):
+    """What even ids left is history; odd ids land on it and are arbitrated together with it."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text").where("text is not null")
+    key = ["source", tq.first_line()]
+    history = stage(dd.best_per_key(rows.where("doc_id % 2 = 0"), key, [F.length("text")], "doc_id"), "history")
+    both = dd.best_per_key(history.unionByName(rows.where("doc_id % 2 = 1")), key, [F.length("text")], "doc_id")
+    return both.groupBy("source").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query(
+    "nrm15_provenance",
+    "SELECT o_orderkey, CASE WHEN y <= 1998 THEN y END AS year, y AS original_year, CASE WHEN y > 1998 THEN 'future_year_suspect' ELSE 'ok' END AS year_status, "
+    "CASE WHEN y > 1998 THEN 'future_year_suspect' ELSE coalesce(CAST(y AS VARCHAR), 'unknown') END AS partition_year, o_orderpriority || ' ' || o_orderpriority || ' ' || o_orderstatus AS text_for_analysis "
+    "FROM (SELECT *, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders)",
+)
+def nrm15(spark, sf_dir):
+    papers = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("abstract"), F.year("o_orderdate").alias("year"))
+    return normalize.with_provenance(papers, 1998).drop("title", "abstract")
