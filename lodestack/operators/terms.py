@@ -184,30 +184,34 @@ def taxonomy(source: Column, topic: Column, categories: Column, subjects: Column
     text = lambda c: squeezed(F.coalesce(c.cast("string"), F.lit("")))
     none = F.array().cast("array<string>")
     given = F.when(F.coalesce(seed, F.lit("")) != "", seed).otherwise(F.coalesce(field, F.lit("")))
-    by_seed = subject_taxon(F.array(given), F.lit(""))
     codes, heads = _filled(categories), _filled(subjects)
     mesh = F.when(F.size(F.coalesce(raw_keywords, none)) > 0, raw_keywords).otherwise(F.coalesce(keywords, none))
     mesh_terms = _filled(F.slice(mesh, 1, 8))
     topic_terms = F.filter(F.array(*[text(topic[k]) for k in ("name", "domain", "field", "subfield")]), lambda t: t != "")
-    medical = F.when(by_seed["domain"] == "Cross-field", _taxon("Health Sciences", "Medicine", keyword_subfield(mesh)))
-    medical = medical.otherwise(_taxon(by_seed["domain"], by_seed["field"], keyword_subfield(mesh)))
 
     def rule(taxon: Column, name: str, sure: float, else_: float, terms: Column) -> Column:
         confidence = F.when(F.size(terms) > 0, F.lit(sure)).otherwise(F.lit(else_))
         return F.struct(taxon.alias("t"), F.lit(name).alias("name"), confidence.alias("confidence"), F.coalesce(terms, none).alias("terms"))
 
-    picked = (
-        F.when(source == "openalex", rule(_taxon(*[text(topic[k]) for k in ("domain", "field", "subfield")]), "openalex_primary_topic", 0.95, 0.55, topic_terms))
-        .when(source == "arxiv", rule(category_taxon(codes), "arxiv_category", 0.9, 0.55, codes))
-        .when(source == "doaj", rule(subject_taxon(heads, F.coalesce(seed, F.lit(""))), "doaj_subject", 0.82, 0.55, heads))
-        .when(source.isin("pubmed", "pmc"), rule(medical, "biomedical_keywords", 0.75, 0.6, mesh_terms))
-        .otherwise(rule(by_seed, "field_seed", 0.55, 0.55, F.filter(F.array(seed, field), lambda t: t.isNotNull() & (t != ""))))
-    )
-    own = picked["t"]
-    open_ = (own["domain"] == "") | (own["field"] == "")
-    domain, name = F.when(open_, by_seed["domain"]).otherwise(own["domain"]), F.when(open_, by_seed["field"]).otherwise(own["field"])
-    below = F.when(own["subfield"] != "", own["subfield"]).when(open_ & (by_seed["subfield"] != ""), by_seed["subfield"]).otherwise(keyword_subfield(keywords))
-    return F.struct(
-        domain.alias("domain"), name.alias("field"), below.alias("subfield"), picked["name"].alias("taxonomy_source"), picked["confidence"].alias("taxonomy_confidence"),
-        F.array_join(F.slice(picked["terms"], 1, 12), ";").alias("raw_taxonomy_terms"),
-    )
+    def picked(by_seed: Column) -> Column:
+        medical = F.when(by_seed["domain"] == "Cross-field", _taxon("Health Sciences", "Medicine", keyword_subfield(mesh)))
+        medical = medical.otherwise(_taxon(by_seed["domain"], by_seed["field"], keyword_subfield(mesh)))
+        return (
+            F.when(source == "openalex", rule(_taxon(*[text(topic[k]) for k in ("domain", "field", "subfield")]), "openalex_primary_topic", 0.95, 0.55, topic_terms))
+            .when(source == "arxiv", rule(category_taxon(codes), "arxiv_category", 0.9, 0.55, codes))
+            .when(source == "doaj", rule(subject_taxon(heads, F.coalesce(seed, F.lit(""))), "doaj_subject", 0.82, 0.55, heads))
+            .when(source.isin("pubmed", "pmc"), rule(medical, "biomedical_keywords", 0.75, 0.6, mesh_terms))
+            .otherwise(rule(by_seed, "field_seed", 0.55, 0.55, F.filter(F.array(seed, field), lambda t: t.isNotNull() & (t != ""))))
+        )
+
+    def completed(by_seed: Column, pick: Column) -> Column:
+        own = pick["t"]
+        open_ = (own["domain"] == "") | (own["field"] == "")
+        domain, name = F.when(open_, by_seed["domain"]).otherwise(own["domain"]), F.when(open_, by_seed["field"]).otherwise(own["field"])
+        below = F.when(own["subfield"] != "", own["subfield"]).when(open_ & (by_seed["subfield"] != ""), by_seed["subfield"]).otherwise(keyword_subfield(keywords))
+        return F.struct(
+            domain.alias("domain"), name.alias("field"), below.alias("subfield"), pick["name"].alias("taxonomy_source"), pick["confidence"].alias("taxonomy_confidence"),
+            F.array_join(F.slice(pick["terms"], 1, 12), ";").alias("raw_taxonomy_terms"),
+        )
+
+    return bound(subject_taxon(F.array(given), F.lit("")), lambda s: bound(picked(s), lambda p: completed(s, p)))
