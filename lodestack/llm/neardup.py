@@ -331,7 +331,8 @@ def near_duplicates(
     lone = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", "n", "first", "component")
     lone = stage(lone, "components")
     heads = lone.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
-    of_class = lone.join(heads, "component", "left").select("key_a", "key_b", "n", F.coalesce("head", "first").alias("head"))
+    of_class = lone.where("component is not null").join(heads, "component").select("key_a", "key_b", "n", "head")
+    of_class = of_class.union(lone.where("component is null").select("key_a", "key_b", "n", F.col("first").alias("head")))
     bare = profiles.select("doc_id", "version", "n", "key_a", "key_b")
     linked = bare.where("n > 0 and doc_id is not null").join(of_class, ["key_a", "key_b", "n"]).select("doc_id", "version", "n", "head")
     alone = bare.where("n = 0 or doc_id is null").select("doc_id", "version", "n", F.struct("doc_id", "version").alias("head"))
