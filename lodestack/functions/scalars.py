@@ -83,6 +83,25 @@ def without_markup(text: Column) -> Column:
     return squeezed(F.regexp_replace(t, "<[^>]+>", " "))
 
 
+def body_parts(xml: Column, within: str = "body", titles: tuple[str, ...] = ("title",), paragraphs: tuple[str, ...] = ("p",)) -> Column:
+    """The titles and paragraphs of a nested article in their order, as ``array<struct<kind, text>>`` of ``title`` and ``paragraph``.
+
+    The first ``within`` element counts, to its last end; sections may be nested at will. Texts are without markup; blank ones are
+    left out. Without such an element, and for null, the array is empty.
+    """
+    inner = F.regexp_extract(F.coalesce(xml, F.lit("")), rf"(?s)<{within}(?:\s[^>]*)?>(.*)</{within}>", 1)
+    pattern = rf"(?s)<({'|'.join((*titles, *paragraphs))})(?:\s[^>]*)?>(.*?)</\1>"
+    names, texts = (F.regexp_extract_all(inner, F.lit(pattern), F.lit(k)) for k in (1, 2))
+    kind = lambda n: F.when(n.isin(*titles), "title").otherwise("paragraph") if titles else F.lit("paragraph")
+    parts = F.zip_with(names, texts, lambda n, t: F.struct(kind(n).alias("kind"), without_markup(t).alias("text")))
+    return F.filter(parts, lambda x: x["text"] != "")
+
+
+def body_excerpt(parts: Column, size: int = 2500) -> Column:
+    """The first ``size`` characters of the paragraphs."""
+    return F.substring(F.array_join(F.transform(F.filter(parts, lambda x: x["kind"] == "paragraph"), lambda x: x["text"]), " "), 1, size)
+
+
 def page_text(html: Column) -> Column:
     """Text of a page without scripts, styles, navigation, headers, footers, asides, forms and comments."""
     t = html

@@ -355,3 +355,20 @@ def ded02_history(spark, sf_dir):
 def nrm15(spark, sf_dir):
     papers = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("abstract"), F.year("o_orderdate").alias("year"))
     return normalize.with_provenance(papers, 1998).drop("title", "abstract")
+
+
+def _plain_sql(text: str) -> str:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = f"replace({text}, {quoted(entity)}, {quoted(char)})"
+    return tq.SQ.format(f"regexp_replace({text}, '<[^>]+>', ' ', 'g')")
+
+
+@query(
+    "nrm13_body_parts",
+    r"WITH b AS (SELECT page_id, regexp_extract(coalesce(html, ''), '(?s)<article(?:\s[^>]*)?>(.*)</article>', 1) AS inner_ FROM pages), "
+    r"p AS (SELECT page_id, list_filter([" + _plain_sql("x") + r" for x in regexp_extract_all(inner_, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1)], lambda t: t <> '') AS t FROM b) "
+    "SELECT page_id, len(t) AS paragraphs, md5(array_to_string(t, ' ')[1:2500]) AS excerpt FROM p",
+)
+def nrm13_body(spark, sf_dir):
+    parts = table(spark, sf_dir, "pages").select("page_id", sc.body_parts(F.col("html"), "article", ()).alias("parts"))
+    return parts.select("page_id", F.size("parts").cast("long").alias("paragraphs"), F.md5(sc.body_excerpt(F.col("parts")).cast("binary")).alias("excerpt"))

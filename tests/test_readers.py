@@ -45,3 +45,12 @@ def test_quota_and_backfill(spark):
     short = rows.where("query = 'a' and key < 'a2'")
     more = records.quota_sample(short, "query", "key", 4, 1, rows).collect()
     assert len(more) == 4 and {"a0", "a1"} <= {r.key for r in more} and len({r.key for r in more}) == 4
+
+
+def test_body_of_a_nested_article(spark):
+    article = """<article><front><title>Not here</title><p>nor this</p></front><body id="b"><sec><title>One &amp; all</title><p>First <i>words</i>.</p>
+    <sec><title>Inner</title><p class="x">Second</p><p> </p></sec></sec><sec><title>Two</title><p>Third</p></sec></body><back><p>references</p></back></article>"""
+    rows = [(0, article), (1, "<article>no body</article>"), (2, None), (3, "<body></body>")]
+    got = {r.i: r for r in spark.createDataFrame(rows, "i int, x string").select("i", sc.body_parts(F.col("x")).alias("p")).select("i", "p", sc.body_excerpt(F.col("p"), 15).alias("e")).collect()}
+    assert [(x.kind, x.text) for x in got[0].p] == [("title", "One & all"), ("paragraph", "First words ."), ("title", "Inner"), ("paragraph", "Second"), ("title", "Two"), ("paragraph", "Third")]
+    assert got[0].e == "First words . S" and all(got[i].p == [] and got[i].e == "" for i in (1, 2, 3))
