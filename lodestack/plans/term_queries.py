@@ -237,11 +237,6 @@ def gra02_suppliers(spark, sf_dir):
     return gr.page_rank(stage(gq.sparse_edges(spark, sf_dir), "edges")).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("gra07_supplier_communities")
-def gra07_suppliers(spark, sf_dir):
-    return gr.best_communities(stage(gq.sparse_edges(spark, sf_dir), "edges"))
-
-
 # ---- topics over the years: market segments stand for topics
 
 YEARS = list(range(roles.YEAR_START - 5, roles.YEAR_END + 1))
