@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from lodestack.operators import graph as gr
+from lodestack.operators import search as se
 
 
 def counted(monkeypatch, module, name="stage"):
@@ -26,3 +29,16 @@ def test_core_numbers_of_many_levels_take_few_rounds(spark, monkeypatch):
         left -= gone
     assert got == want
     assert len(calls) <= 8
+
+
+def test_target_ranks_are_those_of_the_whole_list(spark, monkeypatch):
+    monkeypatch.setattr(se, "TERM_BLOCK", 7)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 12, 6))) for i in range(60)] + [(7, "w1 w1 w2"), (60, None), (61, "w3")]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    terms = se.query_terms(docs.where("doc % 3 = 0 and doc < 60").withColumnRenamed("doc", "query"), "query", "text", most=4)
+    terms = terms.union(spark.createDataFrame([(7, "w1"), (7, "nowhere")], "query long, term string"))
+    targets = terms.select("query").distinct().selectExpr("query", "query as target")
+    every = se.lexical(se.postings(docs, "doc", "text", terms), terms, 1000).where("query = doc")
+    want = {(r.query, r["rank"]) for r in every.collect()}
+    assert {(r.query, r["rank"]) for r in se.target_ranks(docs, "doc", "text", terms, targets).collect()} == want and len(want) == 21
