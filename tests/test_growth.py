@@ -42,3 +42,22 @@ def test_target_ranks_are_those_of_the_whole_list(spark, monkeypatch):
     every = se.lexical(se.postings(docs, "doc", "text", terms), terms, 1000).where("query = doc")
     want = {(r.query, r["rank"]) for r in every.collect()}
     assert {(r.query, r["rank"]) for r in se.target_ranks(docs, "doc", "text", terms, targets).collect()} == want and len(want) == 21
+
+
+def test_nearest_passes_on_ties_by_document(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(40, 0, -1)] + [(0, [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec long, v array<double>").coalesce(1)
+    got = se.nearest(vectors, vectors.where("vec = 0"), "vec", "v", "vec", 3).orderBy("rank").collect()
+    assert [r.doc for r in got] == [1, 2, 3]
+
+
+def test_nearest_holds_small_matrices(spark, monkeypatch):
+    monkeypatch.setattr(se, "CELLS", 50)
+    rng = np.random.default_rng(1)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(90)], "vec long, v array<double>")
+    plain = np.array([r.v for r in vectors.orderBy("vec").collect()])
+    plain /= np.linalg.norm(plain, axis=1, keepdims=True)
+    got = {(r.query, r["rank"]): r.doc for r in se.nearest(vectors, vectors.where("vec % 9 = 0"), "vec", "v", "vec", 5).collect()}
+    for q in range(0, 90, 9):
+        order = [d for d in np.argsort(-(plain @ plain[q])) if d != q][:5]
+        assert [got[q, r] for r in range(1, 6)] == order
