@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bound, n_grams, word_list
+from ..storage import few, stage
 from .filters import is_noise_keyword
 
 #: Keywords named by questions that are broadcast after being counted; more are joined by a shuffle.
@@ -27,13 +28,19 @@ def neighbours(seeds: DataFrame, papers: DataFrame, paper: str, keyword: str, mo
     taken; ties go by keyword.
     """
     pairs = papers.select(F.col(paper).alias("paper"), F.col(keyword).alias("keyword")).where("paper is not null and keyword is not null").distinct()
-    few = F.broadcast(seeds) if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS else seeds
-    found = pairs.join(few, "keyword").select("question", "paper").distinct()
-    near = found.join(pairs.where(~is_noise_keyword(F.col("keyword"))), "paper").groupBy("question", "keyword").agg(F.count("*").alias("n"))
-    own = seeds.select("question", F.lower("keyword").alias("low")).distinct()
-    rest = near.withColumn("low", F.lower("keyword")).join(own, ["question", "low"], "left_anti").drop("low")
-    order = Window.partitionBy("question").orderBy(F.desc("n"), "keyword")
-    return rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    sets = stage(seeds.groupBy("question").agg(F.array_sort(F.collect_set("keyword")).alias("seeds")), "seeds")
+    # questions of the same seeds have the same neighbours, which are counted once
+    asked = stage(sets.select("seeds").distinct().select("seeds", F.xxhash64("seeds", F.lit(0)).alias("h1"), F.xxhash64("seeds", F.lit(1)).alias("h2")), "seeds")
+    key = F.struct("h1", "h2").alias("set")
+    few_sets = few(asked.select(key, F.explode("seeds").alias("keyword")), BROADCAST_SEEDS)
+    found = pairs.join(few_sets, "keyword").select("set", "paper").distinct()
+    near = found.join(pairs.where(~is_noise_keyword(F.col("keyword"))), "paper").groupBy("set", "keyword").agg(F.count("*").alias("n"))
+    own = asked.select(key, F.explode("seeds").alias("keyword")).select("set", F.lower("keyword").alias("low")).distinct()
+    rest = near.withColumn("low", F.lower("keyword")).join(own, ["set", "low"], "left_anti").drop("low")
+    order = Window.partitionBy("set").orderBy(F.desc("n"), "keyword")
+    best = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    of = sets.join(asked.select("seeds", key), "seeds").select("question", "set")
+    return of.join(best, "set").select("question", "keyword", "n", "rank")
 
 
 def best_chunks(ranked: DataFrame, chunks: DataFrame, chunk: str, paper: str, pool: int = 40) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from lodestack.operators import expansion as ex
 from lodestack.operators import graph as gr
 from lodestack.operators import search as se
 
@@ -61,3 +62,15 @@ def test_nearest_holds_small_matrices(spark, monkeypatch):
     for q in range(0, 90, 9):
         order = [d for d in np.argsort(-(plain @ plain[q])) if d != q][:5]
         assert [got[q, r] for r in range(1, 6)] == order
+
+
+def test_questions_of_the_same_keywords_share_their_neighbours(spark, monkeypatch):
+    sizes, plain = [], ex.few
+    monkeypatch.setattr(ex, "few", lambda df, *a: sizes.append(df.count()) or plain(df, *a))
+    papers = spark.createDataFrame([(p, k) for p, ks in enumerate(["ab", "abc", "bd", "ce", "abde"]) for k in ks], "doc long, kw string")
+    asked = [(q, "a") for q in range(50)] + [(q, k) for q in range(50, 90) for k in "ab"]
+    got = ex.neighbours(spark.createDataFrame(asked, "question long, keyword string"), papers, "doc", "kw", 2).collect()
+    want = {"a": [("b", 3), ("c", 1)], "ab": [("d", 2), ("c", 1)]}
+    rows = sorted((r.question, r["rank"], r.keyword, r.n) for r in got)
+    assert rows == [(q, i, k, n) for q in range(90) for i, (k, n) in enumerate(want["a" if q < 50 else "ab"], 1)]
+    assert sizes == [3]
