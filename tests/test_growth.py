@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from lodestack.functions import scalars as sc
 from lodestack.operators import expansion as ex
 from lodestack.operators import graph as gr
 from lodestack.operators import search as se
@@ -67,10 +69,17 @@ def test_nearest_holds_small_matrices(spark, monkeypatch):
 def test_questions_of_the_same_keywords_share_their_neighbours(spark, monkeypatch):
     sizes, plain = [], ex.few
     monkeypatch.setattr(ex, "few", lambda df, *a: sizes.append(df.count()) or plain(df, *a))
-    papers = spark.createDataFrame([(p, k) for p, ks in enumerate(["ab", "abc", "bd", "ce", "abde"]) for k in ks], "doc long, kw string")
-    asked = [(q, "a") for q in range(50)] + [(q, k) for q in range(50, 90) for k in "ab"]
+    name = dict(a="alpine lakes", b="bridge repair", c="copper mines", d="desert winds", e="elder trees")
+    papers = spark.createDataFrame([(p, name[k]) for p, ks in enumerate(["ab", "abc", "bd", "ce", "abde"]) for k in ks], "doc long, kw string")
+    asked = [(q, name["a"]) for q in range(50)] + [(q, name[k]) for q in range(50, 90) for k in "ab"]
     got = ex.neighbours(spark.createDataFrame(asked, "question long, keyword string"), papers, "doc", "kw", 2).collect()
     want = {"a": [("b", 3), ("c", 1)], "ab": [("d", 2), ("c", 1)]}
     rows = sorted((r.question, r["rank"], r.keyword, r.n) for r in got)
-    assert rows == [(q, i, k, n) for q in range(90) for i, (k, n) in enumerate(want["a" if q < 50 else "ab"], 1)]
+    assert rows == [(q, i, name[k], n) for q in range(90) for i, (k, n) in enumerate(want["a" if q < 50 else "ab"], 1)]
     assert sizes == [3]
+
+
+def test_normal_keyword_squeezes_a_text_once(spark):
+    df = spark.createDataFrame([("Graph_Theories ",), ("boxes",), ("glass",), (None,)], "t string").select(sc.normal_keyword(F.col("t")).alias("k"))
+    assert [r.k for r in df.collect()] == ["graph theory", "boxe", "glass", ""]
+    assert df._jdf.queryExecution().analyzed().toString().count("[^a-z0-9 +#]") == 1
