@@ -83,3 +83,11 @@ def test_normal_keyword_squeezes_a_text_once(spark):
     df = spark.createDataFrame([("Graph_Theories ",), ("boxes",), ("glass",), (None,)], "t string").select(sc.normal_keyword(F.col("t")).alias("k"))
     assert [r.k for r in df.collect()] == ["graph theory", "boxe", "glass", ""]
     assert df._jdf.queryExecution().analyzed().toString().count("[^a-z0-9 +#]") == 1
+
+
+def test_betweenness_takes_no_step_from_what_is_all_reached(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, j, 1.0) for i in range(12) for j in range(i + 1, 12)] + [(0, 12, 1.0)], "a long, b long, weight double")
+    calls = counted(monkeypatch, gr)
+    got = {r.node: r.betweenness for r in gr.betweenness(edges).collect()}
+    assert got == {i: 22.0 if i == 0 else 0.0 for i in range(13)}
+    assert len(calls) == 6  # links, starts, two steps, all of them, one step back
