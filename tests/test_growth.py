@@ -91,3 +91,19 @@ def test_betweenness_takes_no_step_from_what_is_all_reached(spark, monkeypatch):
     got = {r.node: r.betweenness for r in gr.betweenness(edges).collect()}
     assert got == {i: 22.0 if i == 0 else 0.0 for i in range(13)}
     assert len(calls) == 6  # links, starts, two steps, all of them, one step back
+
+
+def test_weighted_paths_pass_on_one_offer_a_row_in_blocks(spark, monkeypatch):
+    from lodestack.operators import paths
+
+    rng = np.random.default_rng(2)
+    rows = [(f"n{i}", f"n{j}", float(rng.integers(1, 4))) for i in range(18) for j in range(i + 1, 18) if rng.random() < 0.7]
+    edges = spark.createDataFrame(rows, "a string, b string, weight double").coalesce(1)
+    want = {r.node: r.betweenness for r in paths.weighted_betweenness(edges, None).collect()}
+    offers, plain = [], paths.stage
+    monkeypatch.setattr(paths, "stage", lambda df, label: (offers.append(df.count()) if label == "offers" else None) or plain(df, label))
+    monkeypatch.setattr(paths, "FEW", 100)
+    monkeypatch.setattr(paths, "CELLS", 200)
+    got = {r.node: r.betweenness for r in paths.weighted_betweenness(edges, None).collect()}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+    assert len(offers) > 3 and sum(offers) < 2 * len(rows) * 18  # blocks; fewer than a row for each edge of each start
