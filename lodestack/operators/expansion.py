@@ -46,7 +46,7 @@ def neighbours(seeds: DataFrame, papers: DataFrame, paper: str, keyword: str, mo
 def best_chunks(ranked: DataFrame, chunks: DataFrame, chunk: str, paper: str, pool: int = 40) -> DataFrame:
     """``query, paper, chunk, score, rank``: of ranked chunks (``query, doc, score, rank``) the first of each paper, ranked again."""
     of = chunks.select(F.col(chunk).alias("doc"), F.col(paper).alias("paper"))
-    first = ranked.join(of, "doc").groupBy("query", "paper").agg(F.min_by(F.struct("doc", "score", "rank"), "rank").alias("b"))
+    first = few(ranked).join(of, "doc").groupBy("query", "paper").agg(F.min_by(F.struct("doc", "score", "rank"), "rank").alias("b"))
     order = Window.partitionBy("query").orderBy("b.rank")
     again = first.select("query", "paper", F.col("b.doc").alias("chunk"), F.col("b.score").alias("score"), F.row_number().over(order).alias("rank"))
     return again.where(F.col("rank") <= pool)

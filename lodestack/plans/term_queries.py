@@ -327,7 +327,7 @@ def ret01_chunks(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
     chunks = lines.select((F.col("doc_id") * 1_000_000 + F.col("i")).alias("chunk"), F.col("doc_id").alias("paper"), "text")
     terms = se.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    ranked = se.lexical(se.postings(chunks, "chunk", "text", terms), terms, 400)
+    ranked = stage(se.ranked_texts(chunks, "chunk", "text", terms, 400, se.repeats(table(spark, sf_dir, "documents"), "doc_id")), "ranked")
     return ex.best_chunks(ranked, chunks, "chunk", "paper", 40)
 
 

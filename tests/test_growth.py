@@ -107,3 +107,16 @@ def test_weighted_paths_pass_on_one_offer_a_row_in_blocks(spark, monkeypatch):
     got = {r.node: r.betweenness for r in paths.weighted_betweenness(edges, None).collect()}
     assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
     assert len(offers) > 3 and sum(offers) < 2 * len(rows) * 18  # blocks; fewer than a row for each edge of each start
+
+
+def test_ranked_texts_are_those_of_the_postings(spark, monkeypatch):
+    monkeypatch.setattr(se, "CELLS", 40)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 15, 7))) for i in range(80)] + [(7, "w1 w1 w2"), (80, None), (81, "w3")]
+    docs = spark.createDataFrame(rows, "doc long, text string").coalesce(2)
+    terms = se.query_terms(docs.where("doc % 6 = 0 and doc < 80").withColumnRenamed("doc", "query"), "query", "text", most=4)
+    terms = terms.union(spark.createDataFrame([(7, "w1"), (7, "nowhere"), (8, "nowhere")], "query long, term string"))
+    want = se.lexical(se.postings(docs, "doc", "text", terms), terms, 5)
+    got = se.ranked_texts(docs, "doc", "text", terms, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 75
+    assert got.dtypes == want.dtypes
