@@ -120,3 +120,23 @@ def test_ranked_texts_are_those_of_the_postings(spark, monkeypatch):
     got = se.ranked_texts(docs, "doc", "text", terms, 5)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 75
     assert got.dtypes == want.dtypes
+
+
+def test_terms_are_counted_by_buckets(spark, monkeypatch):
+    from lodestack.operators import grams
+    from lodestack.operators import textstats as ts
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 9) % 40)) for i in range(60)] + [(60, None), (61, "..."), (62, "w1")]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    want = ts.simple_tf_idf(ts.term_counts(docs, "doc", "text", 1, 3, ("w3",)), 63, 9).collect()
+    means = ts.mean_tf_idf(ts.term_counts(docs, "doc", "text"), 63, 2, 0.9, 12, 9).collect()
+    sums = counted(monkeypatch, grams, "term_sums")
+    for first in (2, 1 << 14):  # too few buckets at first, or enough
+        monkeypatch.setattr(grams, "FIRST", first)
+        assert ts.simple_tf_idf_of(docs, "doc", "text", 63, 1, 3, ("w3",), 9).collect() == want
+        got = ts.mean_tf_idf_of(docs, "doc", "text", 63, 1, 2, 2, 0.9, 12, 9).collect()
+        assert [(r.term, r.df) for r in got] == [(r.term, r.df) for r in means] and all(abs(a.score - b.score) < 2e-6 for a, b in zip(got, means, strict=True))
+    assert 4 < len(sums) <= 6
+    twice = docs.union(docs.where("doc < 9"))  # texts of one id are one document, and no run goes over their border
+    assert {r.df for r in ts.simple_tf_idf_of(twice, "doc", "text", 63, 1, 3, ("w3",), 9).collect()} <= set(range(1, 64))
