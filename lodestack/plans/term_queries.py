@@ -67,8 +67,7 @@ EVIDENCE_SQL = (
 def ret08_phrases(spark, sf_dir):
     lines = lambda k: F.split_part(F.col("text"), F.lit("\n"), F.lit(k))
     fields = {"title": lines(1), "keywords": F.concat_ws(" ", "lang", "source"), "abstract": lines(2), "full_text": F.col("text")}
-    scores = ev.evidence_scores(table(spark, sf_dir, "documents"), "doc_id", fields, table(spark, sf_dir, "benchmark"), "item_id", "text")
-    best = ev.best_evidence(scores)
+    best = ev.best_evidence_of(table(spark, sf_dir, "documents"), "doc_id", fields, table(spark, sf_dir, "benchmark"), "item_id", "text")
     return best.select("query", "doc", "score", "rank", F.md5(F.array_join("matches", "|").cast("binary")).alias("matches"))
 
 

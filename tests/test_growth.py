@@ -140,3 +140,21 @@ def test_terms_are_counted_by_buckets(spark, monkeypatch):
     assert 4 < len(sums) <= 6
     twice = docs.union(docs.where("doc < 9"))  # texts of one id are one document, and no run goes over their border
     assert {r.df for r in ts.simple_tf_idf_of(twice, "doc", "text", 63, 1, 3, ("w3",), 9).collect()} <= set(range(1, 64))
+
+
+def test_best_evidence_makes_the_matches_of_winners_alone(spark, monkeypatch):
+    from lodestack.operators import evidence as ev
+
+    rng = np.random.default_rng(6)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 9, n))
+    docs = spark.createDataFrame([(i, line(3), line(12)) for i in range(70)] + [(70, None, "w1"), (71, "none", None)], "doc long, title string, full_text string")
+    asked = spark.createDataFrame([(q, line(5)) for q in range(12)] + [(12, "nowhere"), (13, "rag w1"), (14, None)], "q long, t string")
+    fields, special = {n: F.col(n) for n in ("title", "full_text")}, {"rag": "w2 w3 w4"}
+    want = ev.best_evidence(ev.evidence_scores(docs, "doc", fields, asked, "q", "t", special=special))
+    scored, plain = [], ev.evidence_scores
+    monkeypatch.setattr(ev, "evidence_scores", lambda docs, *a: scored.append(docs.count()) or plain(docs, *a))
+    monkeypatch.setattr(ev, "CELLS", 60)
+    monkeypatch.setattr(ev, "QUERY_BLOCK", 5)
+    got = ev.best_evidence_of(docs, "doc", fields, asked, "q", "t", special=special).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 39
+    assert scored[0] <= 39
