@@ -158,3 +158,18 @@ def test_best_evidence_makes_the_matches_of_winners_alone(spark, monkeypatch):
     got = ev.best_evidence_of(docs, "doc", fields, asked, "q", "t", special=special).select(want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 39
     assert scored[0] <= 39
+
+
+def test_pairs_are_dealt_out_by_the_rows_there_are(spark, sf_dir, monkeypatch):
+    from lodestack import storage
+    from lodestack.plans import registry
+
+    run = registry.queries()
+    names = ("agg17_report_edges", "str03_incremental_edges")
+    want = [sorted(map(tuple, run[n](spark, sf_dir).collect())) for n in names]
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)  # of 6,000 lines
+    for name, rows in zip(names, want, strict=True):
+        got = run[name](spark, sf_dir)
+        assert sorted(map(tuple, got.collect())) == rows
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan
