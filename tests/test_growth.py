@@ -173,3 +173,27 @@ def test_pairs_are_dealt_out_by_the_rows_there_are(spark, sf_dir, monkeypatch):
         assert sorted(map(tuple, got.collect())) == rows
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression" in plan
+
+
+def test_topics_keep_no_words_and_settle_ties(spark, monkeypatch):
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+
+    from lodestack.operators import textstats as ts
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 45, 7)) + " Everywhere") for i in range(40)] + [(3, "w1 w2 w2"), (40, None), (41, "..."), (42, "once")]
+    docs = spark.createDataFrame(rows, "doc long, t string").coalesce(2)
+    words = [(t or "").lower().split() for _, t in rows if t and t != "..."]
+    flat, df = [w for ws in words for w in ws], lambda w: sum(w in ws for ws in words)
+    vocabulary = sorted((w for w in set(flat) if 2 <= df(w) <= 0.82 * len(words)), key=lambda w: (-flat.count(w), w))[:25]
+    assert flat.count(vocabulary[-1]) == flat.count(vocabulary[-2]) and "everywhere" not in vocabulary
+    tokens = docs.select("doc", ts.word_list(F.col("t")).alias("w")).where("size(w) > 0")
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "w", "features").transform(tokens)
+    model = LDA(k=3, maxIter=4, seed=7).fit(vectors)
+    want = {(r.topic, k, vocabulary[i]) for r in model.describeTopics(5).collect() for k, i in enumerate(r.termIndices)}
+    sure = sorted((r.doc, int(np.argmax(r.topicDistribution)), round(float(max(r.topicDistribution)), 6)) for r in model.transform(vectors).collect())
+    monkeypatch.setattr(CountVectorizer, "fit", lambda *_: 1 / 0)  # it keeps all words of its input in memory
+    ranked, best = ts.lda_topics(docs, "doc", "t", k=3, terms=25, rounds=4, words=5)
+    assert set(map(tuple, ranked.collect())) == want
+    assert sorted(map(tuple, best.collect())) == sure and len(sure) == len(words) == 42
