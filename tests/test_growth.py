@@ -197,3 +197,17 @@ def test_topics_keep_no_words_and_settle_ties(spark, monkeypatch):
     ranked, best = ts.lda_topics(docs, "doc", "t", k=3, terms=25, rounds=4, words=5)
     assert set(map(tuple, ranked.collect())) == want
     assert sorted(map(tuple, best.collect())) == sure and len(sure) == len(words) == 42
+
+
+def test_topic_years_keep_no_words_and_count_every_document(spark, sf_dir, monkeypatch):
+    from pyspark.ml.feature import CountVectorizer
+
+    from lodestack.plans import registry
+    from lodestack.tables import table
+
+    monkeypatch.setattr(CountVectorizer, "fit", lambda *_: 1 / 0)  # it keeps all words of its input in memory
+    rows = registry.queries()["win10_topic_years"](spark, sf_dir).collect()
+    docs = table(spark, sf_dir, "documents").where(F.lower("text").rlike(r"[\p{L}\p{N}]"))
+    want = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    assert {lang: sum(r.n for r in rows if r.lang == lang) for lang in want} == want
+    assert all(0 <= r.topic < 6 and 0 <= r.mean_weight <= 1 for r in rows)
