@@ -34,6 +34,14 @@ def test_core_numbers_of_many_levels_take_few_rounds(spark, monkeypatch):
     assert len(calls) <= 8
 
 
+def test_core_numbers_make_their_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    rows = [(i, j, 1.0) for i in range(6) for j in range(i + 1, 6)] + [(5, 6, 1.0), (5, 6, 2.0)]
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda r: (made.add(1), r)[1]), "a long, b long, weight double")
+    assert {r.node: r.core for r in gr.core_numbers(edges).collect()} == {**dict.fromkeys(range(6), 5), 6: 1}
+    assert made.value == len(rows)
+
+
 def test_target_ranks_are_those_of_the_whole_list(spark, monkeypatch):
     monkeypatch.setattr(se, "TERM_BLOCK", 7)
     rng = np.random.default_rng(5)
