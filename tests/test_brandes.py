@@ -48,8 +48,10 @@ def test_blocks_and_scratch_files(spark, monkeypatch, cells, held):
     monkeypatch.setattr(br, "CELLS", cells)
     monkeypatch.setattr(br, "HELD", held)
     ways = sorted((x, y, 1 / w) for a, b, w in edges[:-1] for x, y in ((a, b), (b, a)))
-    rows = [("one", s, 3, *way) for s in range(3) for way in ways] + [("two", 0, 1, 30, 31, 1.0), ("two", 0, 1, 31, 30, 1.0)]
-    names = ["component", "share", "shares", "node", "other", "length"]
+    ways += [(x, y, length + 1) for x, y, length in ways[::3]]  # longer repeats
+    rows = [("one", 3, (s << br.NODE_BITS) + x, y, length) for s in range(3) for x, y, length in sorted(ways, key=lambda way: way[0])]
+    rows[len(ways) : len(ways)] = [("two", 1, 30, 31, 1.0), ("two", 1, 31, 30, 1.0)]
+    names = ["component", "shares", "at", "other", "length"]
     cut = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + 7]]) for i in range(0, len(rows), 7)]
     for kernel, want in ((br._hops, hops(edges)), (br._lengths, {k: v * 31 * 30 for k, v in brandes(edges).items()})):
         got = dict.fromkeys(want, 0.0)
